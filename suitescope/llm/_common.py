@@ -7,6 +7,8 @@ is the same on UTF-8 bytes as on code points.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -189,16 +191,34 @@ def documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
-def checkpointed(df: DataFrame, name: str = "suitescope") -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, which all executors see.
+_written: list[tuple[SparkSession, str]] = []
 
-    The folder is the session's spark.checkpoint.dir; one is set here only where none is,
-    as in tests on one machine.
+
+def checkpointed(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it again: the lineage ends there.
+
+    The folder is the session's spark.checkpoint.dir, which all executors see; one is chosen here
+    only where none is set, as in tests on one machine.  Files go when the driver ends.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/{name}-checkpoints")
-    return df.checkpoint(eager=True)
+    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/suitescope-checkpoints"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_written() -> None:
+    """Delete all tables that ``checkpointed`` wrote in this session's life."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended already; the folder is scratch space
+            continue
 
 
 def input_bytes(df: DataFrame, text_column: str = "text") -> int:
