@@ -155,7 +155,7 @@ def _linked(pairs: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFr
             cuts = np.flatnonzero(role == 0)
             hope = np.zeros(len(a), bool)
             hope[cuts] = True
-            spans = [*([(0, cuts[0] if len(cuts) else len(a), own_reg, own_n)] if pivot is not None else []), *((c + 1, e, reg[c], size[c]) for c, e in zip(cuts, [*cuts[1:], len(a)], strict=True))]
+            spans = [*([(0, cuts[0] if len(cuts) else len(a), own_reg, own_n)] if pivot is not None else []), *((c + 1, e, reg[c], size[c]) for c, e in zip(cuts, [*cuts[1:], len(a)], strict=False))]
             for s, e, r, k in spans:
                 if e > s:
                     hope[s:e] = hopeful(estimate(reg[s:e], r), size[s:e], np.full(e - s, k), percent)
