@@ -103,9 +103,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """The words of a batch of texts: byte spans, 64-bit hashes, and each text's range."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, inner: np.ndarray | None = None):
+        """``inner``: which of the 256 bytes words are made of, instead of all but white space."""
         self.data, self.off = data, off
-        word = ~_IS_SPACE[data]
+        word = ~_IS_SPACE[data] if inner is None else inner[data]
         first = np.zeros(len(data) + 1, bool)
         first[off] = True
         before = np.zeros(len(data), bool)

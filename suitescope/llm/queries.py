@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontamination
 from .licenses import op7_license_scan
 from .mixing import OP1_SQL, op1_source_mix
 from .media import op3_media_columns
@@ -10,6 +11,6 @@ from .pii import op8_pii_spans
 from .quality import op2_quality_crf
 from .tokens import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_crf, op3_media_columns, op5_near_duplicates, op7_license_scan, op8_pii_spans, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_quality_crf, op3_media_columns, op5_near_duplicates, op7_license_scan, op8_pii_spans, op9_token_counts, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op1_source_mix": OP1_SQL}
