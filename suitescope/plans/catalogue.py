@@ -1,6 +1,325 @@
-"""Queries over the retail and event tables that show each operator, and their SQL."""
+"""Queries over the retail, event and text tables, each showing operators, with their SQL.
+
+Observations are line items, snapshots orders, majors years of order, repositories customers;
+windows split events by time.  Inline rows stand in where the tables have nothing alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.normal import erf_sql
+from ..operators import discovery, extraction, quality, samples, statistics, versioning
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+CUTOFF, SHIP_CUTOFF = "2024-01-16", "1998-06-01"
+METRICS = ("l_quantity", "l_extendedprice", "l_tax")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
+
+
+def lines_with_major(spark: SparkSession, d: str) -> DataFrame:
+    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("major"), "o_orderstatus")
+    return t(spark, d, "lineitem").join(orders, "l_orderkey")
+
+
+_LONG = " UNION ALL ".join(f"SELECT CAST(year(o_orderdate) AS INT) AS major, '{m}' AS metric, {m} AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey" for m in METRICS)
+
+
+@query(f"""
+WITH long AS ({_LONG}), r AS (
+  SELECT *, row_number() OVER (PARTITION BY major, metric ORDER BY value) AS rn, count(*) OVER (PARTITION BY major, metric) AS n FROM long)
+SELECT major, metric, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+  round(coalesce(stddev_samp(value), 0), 6) AS sd,
+  round(coalesce(median(value) FILTER (rn > n - n // 2) - median(value) FILTER (rn <= n // 2), 0), 6) AS iqr
+FROM r GROUP BY major, metric""")
+def descriptives_by_major(spark, d):
+    return rounded(statistics.descriptives(lines_with_major(spark, d), ["major"], METRICS))
+
+
+@query(f"""
+WITH long AS ({_LONG})
+SELECT metric, round(CASE WHEN var_pop(major) = 0 THEN 0 ELSE regr_slope(value, major) END, 3) + 0.0::DOUBLE AS slope,
+  round(CASE WHEN var_pop(major) = 0 THEN avg(value) ELSE regr_intercept(value, major) END, 3) + 0.0::DOUBLE AS intercept,
+  round(CASE WHEN var_pop(major) = 0 THEN 0 WHEN var_pop(value) = 0 THEN 1 ELSE regr_r2(value, major) END, 3) + 0.0::DOUBLE AS r2,
+  count(*) AS n, count(DISTINCT major) AS n_x
+FROM long GROUP BY metric HAVING count(DISTINCT major) > 1""")
+def trend_by_major(spark, d):
+    return rounded(statistics.regression(lines_with_major(spark, d), "major", METRICS).where("n_x > 1"), 3)
+
+
+_RANKS = f"""
+WITH e AS (SELECT event_type, value, CAST(ts >= TIMESTAMP '{CUTOFF}' AS INT) AS post FROM events WHERE value IS NOT NULL),
+h AS (SELECT event_type, value, CAST(sum(1 - post) AS DOUBLE) AS a, CAST(sum(post) AS DOUBLE) AS b FROM e GROUP BY 1, 2),
+c AS (SELECT *, a + b AS t, sum(a + b) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto FROM h),
+s AS (SELECT event_type, sum(a) AS n1, sum(b) AS n2, sum(a * (upto - t + (t + 1) / 2)) AS r1, sum(t * t * t - t) AS ties FROM c GROUP BY 1),
+m AS (SELECT event_type, median(value) FILTER (post = 0) AS median_pre, median(value) FILTER (post = 1) AS median_post FROM e GROUP BY 1),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s),
+v AS (SELECT *, least(u1, n1 * n2 - u1) AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sigma FROM u),
+z AS (SELECT *, CASE WHEN sigma > 0 THEN (u - n1 * n2 / 2) / sigma ELSE 0 END AS z, 2 * u1 / (n1 * n2) - 1 AS delta FROM v)
+SELECT event_type, 'value' AS metric, CAST(n1 AS BIGINT) AS n_pre, CAST(n2 AS BIGINT) AS n_post, round(median_pre, 6) AS median_pre, round(median_post, 6) AS median_post,
+  round(u, 6) AS u, round(z, 6) AS z, round(greatest(least(2 * (1 - 0.5 * (1 + {erf_sql('abs(z) / sqrt(2.0::DOUBLE)')})), 1), 0), 6) AS p,
+  round(delta, 6) AS cliffs_delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude,
+  n1 < 5 OR n2 < 5 AS refused
+FROM z JOIN m USING (event_type)"""
+
+
+@query(_RANKS)
+def mannwhitney_cliffs(spark, d):
+    e = t(spark, d, "events")
+    return rounded(statistics.rank_tests(e, F.col("ts") >= F.lit(CUTOFF).cast("timestamp"), ["value"], ["event_type"], floor=5))
+
+
+@query("""
+WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (quality = toxic) AS DOUBLE) AS same FROM labels),
+a AS (SELECT quality AS l, CAST(count(*) AS DOUBLE) AS x FROM labels GROUP BY 1), b AS (SELECT toxic AS l, CAST(count(*) AS DOUBLE) AS y FROM labels GROUP BY 1),
+e AS (SELECT sum(x * y) AS chance FROM a JOIN b USING (l)),
+k AS (SELECT n, same / n AS po, coalesce(chance, 0) / (n * n) AS pe FROM n, e)
+SELECT CAST(n AS BIGINT) AS n, round(po, 6) AS observed, round(pe, 6) AS expected, round(CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 6) AS kappa,
+  CASE WHEN (po - pe) / (1 - pe) < 0 THEN 'poor' WHEN (po - pe) / (1 - pe) <= 0.2 THEN 'slight' ELSE 'fair' END AS band
+FROM k""")
+def kappa_labels(spark, d):
+    return rounded(statistics.agreement(t(spark, d, "labels"), "quality", "toxic"))
+
+
+_FLAGS = ("A", "R", "X")
+
+
+@query("""
+SELECT CAST(year(o_orderdate) AS INT) AS major, count(*) AS n,
+""" + ", ".join(f"round(count(*) FILTER (l_returnflag = '{f}') * 100.0::DOUBLE / count(*), 6) AS \"{f}\"" for f in _FLAGS) + """
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def type_dist_by_version(spark, d):
+    return rounded(statistics.distribution(lines_with_major(spark, d), "major", "l_returnflag", _FLAGS))
+
+
+_TYPES = ("view", "click", "purchase", "signup")
+
+
+@query(f"""
+SELECT CASE WHEN ts < TIMESTAMP '{CUTOFF}' THEN 'pre' ELSE 'post' END AS ai_window, count(*) AS n,
+""" + ", ".join(f"round(count(*) FILTER (event_type = '{f}') * 100.0::DOUBLE / count(*), 6) AS \"{f}\"" for f in _TYPES) + """
+FROM events WHERE ts IS NOT NULL GROUP BY 1""")
+def type_dist_by_window(spark, d):
+    e = t(spark, d, "events").withColumn("ai_window", samples.window_of(F.col("ts"), CUTOFF)).where("ai_window is not null")
+    return rounded(statistics.distribution(e, "ai_window", "event_type", _TYPES)).orderBy(F.desc("ai_window"))
+
+
+@query("""
+SELECT user_id % 10 AS user_group, """ + ", ".join(f"count(*) FILTER (event_type = '{f}') AS \"{f}\"" for f in _TYPES) + """, count(*) AS total
+FROM events GROUP BY 1""")
+def crosstab_total(spark, d):
+    return statistics.crosstab(t(spark, d, "events").withColumn("user_group", F.col("user_id") % 10), "user_group", "event_type", _TYPES)
+
+
+@query("""
+SELECT user_id, event_type, event_id, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts ASC NULLS LAST, event_id) AS rn FROM events) WHERE rn = 1""")
+def first_per_authored_key(spark, d):
+    return samples.first_per(t(spark, d, "events"), ["user_id", "event_type"], F.col("ts").asc_nulls_last(), F.col("event_id").asc()).select("user_id", "event_type", "event_id", "ts", "value")
+
+
+@query("""
+SELECT repository_id, id, kind, framework_version FROM (
+  SELECT o_custkey AS repository_id, o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'head' ELSE 'version_boundary' END AS kind, CAST(year(o_orderdate) AS INT) AS framework_version,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, year(o_orderdate) DESC NULLS LAST, o_orderkey) AS rn
+  FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) WHERE rn = 1""")
+def newest_snapshot_per_repo(spark, d):
+    s = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repository_id"), F.when(F.col("o_orderstatus") == "O", "head").otherwise("version_boundary").alias("kind"), F.year("o_orderdate").alias("framework_version"))
+    return samples.newest_extracted(s, t(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"))).select("repository_id", "id", "kind", "framework_version")
+
+
+@query("""
+SELECT o_custkey AS repo, CAST(year(o_orderdate) AS INT) AS major, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS sha
+FROM orders GROUP BY 1, 2""")
+def representative_per_major(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.year("o_orderdate").alias("major"), F.struct("o_orderdate", "o_orderkey").alias("seq"), "o_orderkey")
+    return samples.last_per(o, ["repo", "major"], F.struct(F.col("o_orderkey").alias("sha")), "seq")
+
+
+@query("""
+SELECT 'observation_snapshot' AS "check", count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
+UNION ALL SELECT 'observation_repository', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey)
+UNION ALL SELECT 'snapshot_repository', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
+UNION ALL SELECT 'failure_snapshot', count(*) FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = event_id * 3)
+UNION ALL SELECT 'crossed_repository', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_custkey <> l_suppkey""")
+def orphan_checks(spark, d):
+    obs = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_suppkey").alias("repository_id"))
+    snaps = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repository_id"))
+    fails = t(spark, d, "events").select((F.col("event_id") * 3).alias("snapshot_id"))
+    return quality.orphan_counts(t(spark, d, "customer").select(F.col("c_custkey").alias("id")), snaps, obs, fails)
+
+
+@query("""
+WITH w AS (SELECT o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderdate) AS before FROM orders WHERE o_orderdate IS NOT NULL)
+SELECT o_custkey, count(*) AS n_dated, coalesce(bool_or(before > o_orderdate), false) AS broken FROM w GROUP BY 1""")
+def date_monotonic(spark, d):
+    return quality.dates_out_of_order(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate")
+
+
+@query("SELECT o_custkey, count(*) AS n_empty FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1")
+def empty_snapshots(spark, d):
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t(spark, d, "orders").join(items, "o_orderkey", "left_anti").groupBy("o_custkey").agg(F.count("*").alias("n_empty"))
+
+
+@query("SELECT o_custkey, count(*) - count(DISTINCT year(o_orderdate)) AS duplicates, count(*) = count(DISTINCT year(o_orderdate)) AS ascending FROM orders GROUP BY 1")
+def dup_majors(spark, d):
+    n, k = F.count("*"), F.count_distinct(F.year("o_orderdate"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg((n - k).alias("duplicates"), (n == k).alias("ascending"))
+
+
+@query("""
+SELECT source, count(*) AS total, count(quality) AS attributed, round(CASE WHEN count(*) > 0 THEN (count(*) - count(quality)) * 100.0::DOUBLE / count(*) ELSE 0 END, 6) AS unattributed_percent,
+  count(*) FILTER (toxic = 1) AS failures, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (toxic = 1) * 100.0::DOUBLE / (count(*) FILTER (toxic = 1) + count(*)) ELSE 0 END, 6) AS failure_percent
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def coverage_and_failure_rate(spark, d):
+    j = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels"), "doc_id", "left")
+    g = j.groupBy("source").agg(F.count("*").alias("total"), F.count("quality").alias("attributed"), F.count_if(F.col("toxic") == 1).alias("failures"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a * 100.0, b), F.lit(0.0)), 6)
+    return g.select("source", "total", "attributed", share(F.col("total") - F.col("attributed"), F.col("total")).alias("unattributed_percent"), "failures", share(F.col("failures"), F.col("failures") + F.col("total")).alias("failure_percent"))
+
+
+# Version constraints and the majors they name.
+CONSTRAINTS = (
+    ("^11.0", 11), ("^13.17", 13), ("~5.8", 5), ("~5.8.0", 5), ("5.8.*", 5), ("4.2.*", 4), (">=9 <11", 9), ("<11 >=9", 9), ("^10|^11", 10),
+    ("^8.0 || ^9.0", 8), ("v10.0.1", 10), ("10.x-dev", 10), ("dev-master", None), ("*", None), ("", None), (None, None),
+)
+_sql = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_values = lambda rows: ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values((i, c, m) for i, (c, m) in enumerate(CONSTRAINTS))}) AS v(id, version_constraint, major)")
+def resolve_constraint(spark, d):
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CONSTRAINTS)], "id int, version_constraint string")
+    return rows.withColumn("major", versioning.major_of(F.col("version_constraint")))
+
+
+# Manifests and the majors they name.
+MANIFESTS = (
+    ('{"require":{"laravel/framework":"^12.0","illuminate/support":"^11.0"}}', 12), ('{"require":{"illuminate/support":"~5.4"}}', 5),
+    ('{"require":{"monolog/monolog":"^3"}}', None), ("{}", None), ('{"require":[]}', None), ('{"require":{"laravel/framework":9,"illuminate/support":"^8"}}', None), ("no json", None), (None, None),
+)
+
+
+@query(f"SELECT * FROM (VALUES {_values((i, m) for i, (_, m) in enumerate(MANIFESTS))}) AS v(id, major)")
+def resolve_manifest(spark, d):
+    rows = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(MANIFESTS)], "id int, manifest string")
+    return rows.select("id", versioning.major_of(versioning.constraint_of(F.col("manifest"))).alias("major"))
+
+
+@query("SELECT page_id, url FROM pages WHERE (url LIKE 'http://%' AND url LIKE '%#top') OR (url LIKE 'https://m.%' AND url LIKE '%ref=x')")
+def suite_path_filter(spark, d):
+    files = t(spark, d, "pages").select(F.lit("web").alias("repo"), F.regexp_replace("url", r"^(https?):/", "$1:").alias("path"), "page_id", "url")
+    suites = spark.createDataFrame([("web", "http:", "#top"), ("web", "http:", "#top"), ("web", "https:", "ref=x")], "repo string, dir string, suffix string")
+    mobile = F.col("path").startswith("http:/") | F.col("path").startswith("https:/m.")
+    return discovery.discover(files.where(mobile), suites).select("page_id", "url")
+
+
+XML = (
+    ("a", "phpunit.xml", '<phpunit><testsuites><testsuite name="u"><directory>./tests/Unit</directory><directory suffix=".spec.php">specs\\x/</directory></testsuite></testsuites></phpunit>'),
+    ("a", "phpunit.xml.dist", "<phpunit><testsuites><testsuite><directory>other</directory></testsuite></testsuites></phpunit>"),
+    ("b", "phpunit.xml", "<phpunit><broken"), ("b", "phpunit.xml.dist", "<phpunit><testsuites><testsuite><directory>../t</directory></testsuite></testsuites></phpunit>"),
+    ("c", "readme", "text"),
+)
+
+
+@query("SELECT * FROM (VALUES ('a', 'tests/Unit', 'Test.php'), ('a', 'specs/x', '.spec.php'), ('b', 't', 'Test.php'), ('c', 'tests', 'Test.php')) AS v(repo, dir, suffix)")
+def suite_directories(spark, d):
+    files = spark.createDataFrame(list(XML), "repo string, path string, content string")
+    return discovery.suites(files, files)
+
+
+@query(r"""
+SELECT item_id, CASE WHEN regexp_matches(s, '(?m)^\s*(it|test)\s*\(') AND NOT regexp_matches(s, '(?m)^\s*class\s+') THEN 'pest'
+  WHEN regexp_matches(s, 'class\s+\w+\s+extends\s+\w*TestCase') THEN 'phpunit' END AS front_end
+FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'it(''' || text || ''')' WHEN 1 THEN 'class A extends BaseTestCase {' || text WHEN 2 THEN '  class B' || chr(10) || 'test (1)' ELSE text END AS s FROM benchmark)""")
+def route_by_content(spark, d):
+    text = F.col("text")
+    source = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("it('"), text, F.lit("')"))).when(F.col("item_id") % 4 == 1, F.concat(F.lit("class A extends BaseTestCase {"), text)).when(F.col("item_id") % 4 == 2, F.lit("  class B\ntest (1)")).otherwise(text)
+    return t(spark, d, "benchmark").select("item_id", extraction.front_end(source).alias("front_end"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS k_total, CAST(max(CAST(props ->> '$.k' AS INT)) AS INT) AS k_max FROM events GROUP BY 1")
+def json_signals(spark, d):
+    k = F.from_json("props", "map<string,int>")["k"]
+    return t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k.cast("long")).alias("k_total"), F.max(k).alias("k_max"))
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(?:the|and)\w*')) AS BIGINT) AS calls FROM documents")
+def call_name_counts(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\b(?:the|and)\w*")).cast("long").alias("calls"))
+
+
+@query("""SELECT user_id, CASE WHEN count(DISTINCT event_type) >= 2 THEN 'mixed' ELSE min(event_type) END AS primary_test_framework
+FROM events WHERE value > 95 GROUP BY 1""")
+def primary_framework(spark, d):
+    return extraction.primary_framework(t(spark, d, "events").where("value > 95"), "user_id", "event_type")
+
+
+@query("""SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM orders GROUP BY 1""")
+def upsert_latest(spark, d):
+    """Two batches written by key, the later one winning."""
+    from ..sources.store import merged
+
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    half = F.col("o_orderkey") % 2 == 0
+    latest = lambda df: samples.last_per(df, ["o_custkey"], F.struct("o_orderkey", "o_orderdate"), "k")
+    keyed = o.withColumn("k", F.struct("o_orderdate", "o_orderkey"))
+    both = merged(latest(keyed.where(half)), latest(keyed.where(~half)), ["o_custkey"], F.struct("o_orderdate", "o_orderkey"))
+    return both.select("o_custkey", "o_orderkey")
+
+
+@query(f"""
+SELECT l_returnflag AS test_type, CASE WHEN l_shipdate < TIMESTAMP '{SHIP_CUTOFF}' THEN 'pre' ELSE 'post' END AS ai_window, count(*) AS n, round(sum(l_quantity), 6) AS quantity
+FROM lineitem WHERE l_shipdate IS NOT NULL AND l_linestatus = 'F' GROUP BY 1, 2""")
+def window_counters(spark, d):
+    l = t(spark, d, "lineitem").where("l_shipdate is not null and l_linestatus = 'F'").withColumn("ai_window", samples.window_of(F.col("l_shipdate"), SHIP_CUTOFF))  # noqa: E741
+    return l.groupBy(F.col("l_returnflag").alias("test_type"), "ai_window").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+
+
+@query("""
+SELECT o_orderkey, len(m) AS mock_breadth, coalesce(list_max(list_transform(m, lambda x: x[2])), 0) AS max_mock_chain_depth,
+  list_aggregate(list_transform(m, lambda x: x[1]), 'string_agg', ',') AS kinds
+FROM (SELECT o_orderkey, list([l_linenumber, CAST(l_quantity AS INT)] ORDER BY l_linenumber, l_quantity, l_partkey) AS m
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0 GROUP BY 1)""")
+def mock_folds(spark, d):
+    j = t(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey % 7 = 0").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    g = j.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey"))).alias("m"))
+    m = F.transform("m", lambda x: F.struct(x["l_linenumber"].cast("string").alias("kind"), x["l_quantity"].cast("int").alias("chain_depth")))
+    f = extraction.folds(m)
+    return g.select("o_orderkey", f["mock_breadth"].cast("long").alias("mock_breadth"), f["max_mock_chain_depth"].alias("max_mock_chain_depth"), F.array_join(F.transform(m, lambda x: x["kind"]), ",").alias("kinds"))
+
+
+@query("""SELECT c_custkey, c_mktsegment, count(o_orderkey) AS snapshots, count(DISTINCT year(o_orderdate)) AS majors
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+def snapshots_per_repository(spark, d):
+    o = t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return t(spark, d, "customer").join(o, "c_custkey", "left").groupBy("c_custkey", "c_mktsegment").agg(F.count("o_orderkey").alias("snapshots"), F.count_distinct(F.year("o_orderdate")).alias("majors"))
+
+
+@query("SELECT 'a' AS side, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'b', o_orderstatus, count(*) FROM orders GROUP BY 2")
+def union_samples(spark, d):
+    a = t(spark, d, "lineitem").select(F.lit("a").alias("side"), F.col("l_returnflag").alias("v"))
+    b = t(spark, d, "orders").select(F.lit("b").alias("side"), F.col("o_orderstatus").alias("v"))
+    return a.unionByName(b).groupBy("side", "v").agg(F.count("*").alias("n"))
