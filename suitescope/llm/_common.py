@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python.  Texts differ in length by four orders of
 #: magnitude, so batches are small and ``chunks`` cuts them again by bytes.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
+BATCH_BYTES = 4_000_000
 #: Bytes of text that one vectorised step works on.
 CHUNK_BYTES = 2_000_000
 #: White space that separates words in every contract here.
@@ -34,6 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Python worker holds; read when a plan is built."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE, Words, documents, grams, input_bytes, inside, mix, runs, sliding_min, utf8
+from ._common import BYTE, Words, documents, grams, input_bytes, inside, mix, runs, sliding_min, small_batches, utf8
 
 #: Tokens hashed at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 #: Documents from which on an anchor counts as hot.
 HOT = 1_000
 LEAST_BUCKETS = 48
@@ -165,6 +165,7 @@ def cut_repeats(
     finish: Callable[[Bucket, Runs, list[bytes]], pa.Table],
     schema: str,
     bucket_bytes: int,
+    part_bytes: int,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -176,8 +177,9 @@ def cut_repeats(
     """
     docs = documents(df, id_column, text_column).withColumn("text", F.coalesce("text", F.lit("")))
     size = input_bytes(docs)
+    small_batches(df.sparkSession)
     buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
-    parts = max(LEAST_BUCKETS // 2, -(-size // 24_000_000))
+    parts = max(LEAST_BUCKETS // 2, -(-size // part_bytes))
     docs = docs.withColumn("dk", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
     docs = docs.withColumn("bucket", F.pmod("dk", F.lit(buckets)).cast("int")).select("bucket", "dk", "id", "doc_id", "text")
 

@@ -2,7 +2,7 @@
 
 Of the corpus only stretches of bytes with an anchor that other documents hold are sorted (see
 ``repeats``), and of those one suffix bucket at a time: the stretches that share an anchor.  Equal
-stretches are sorted once.  Within a bucket the suffixes at positions that are 1 or 2 modulo 3, a
+stretches are sorted once, stretches without any window hash in common with another not at all.  Within a bucket the suffixes at positions that are 1 or 2 modulo 3, a
 difference cover, are ranked by doubling; any other suffix is its first byte and then a ranked one, and
 any two suffixes meet at ranked positions within two bytes, so ties of any length are settled by ranks
 and memory stays at a few numbers a byte of one bucket.  Suffixes that share 50 bytes are neighbours
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from ._common import mix, table
+from ._common import BYTE, grams, mix, table
 from .repeats import Bucket, Runs, by_part, pack, runs, spread, unpack, window_hashes
 from .suffix_tree_dedup import stretches
 
 LENGTH, ANCHOR = 50, 20
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 2_000_000
+PART_BYTES = 6_000_000
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -84,6 +85,30 @@ def least_ids(text: np.ndarray, start: np.ndarray, ids: np.ndarray, length: int)
     return out
 
 
+def least_by_name(pieces: list[bytes], holder: np.ndarray, length: int) -> np.ndarray:
+    """The least id of every window of distinct stretches, one stretch after another.
+
+    A stretch none of whose windows has a hash that another's window has is left out of the array.
+    """
+    size = np.array([len(p) for p in pieces], np.int64)
+    base, windows = np.cumsum(size) - size, size - length + 1
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    name = np.repeat(np.arange(len(pieces)), windows)
+    at = spread(base, windows)
+    least = holder[name]
+    h = grams(BYTE[text], length)[at]
+    order = np.argsort(h, kind="stable")
+    s, e = runs(h[order])
+    again = np.zeros(len(pieces), bool)
+    again[name[order[np.repeat(e - s > 1, e - s)]]] = True
+    some = np.flatnonzero(again)
+    if len(some):
+        part = np.frombuffer(b"".join(pieces[k] for k in some), np.uint8)
+        starts = spread(np.cumsum(size[some]) - size[some], windows[some])
+        least[again[name]] = least_ids(part, starts, np.repeat(holder[some], windows[some]), length)
+    return least
+
+
 def cut_repeated_bytes(df: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, removed, kept binary) of each row of ``df``.
 
@@ -91,34 +116,36 @@ def cut_repeated_bytes(df: DataFrame, length: int = LENGTH, id_column: str = "do
     """
     anchor = min(ANCHOR, length)
 
-    def known(b: Bucket, found: Runs, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(runs that matter, their windows, which windows a smaller id in this bucket holds)."""
+    def known(b: Bucket, found: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(runs whose anchor several documents here have, their windows, which of those a smaller id here holds)."""
         order = np.lexsort((found.text, found.anchor))
         s, e = runs(found.anchor[order])
         several = np.zeros(len(order), bool)
         several[order] = np.repeat(found.text[order[s]] != found.text[order[e - 1]], e - s) if len(s) else False
-        matter = np.flatnonzero(several | shared)
-        at = spread(found.start[matter], found.n[matter])
+        several = np.flatnonzero(several)
+        at = spread(found.start[several], found.n[several])
         h = window_hashes(b, length, at)
-        owner = b.ids[np.repeat(found.text[matter], found.n[matter])]
+        owner = b.ids[np.repeat(found.text[several], found.n[several])]
         order = np.argsort(h, kind="stable")
         s, e = runs(h[order])
         least = np.minimum.reduceat(owner[order], s) if len(s) else owner[:0]
         gone = np.zeros(len(at), bool)
         gone[order] = owner[order] > np.repeat(least, e - s)
-        return matter, at, gone
+        return several, at, gone
 
     def local(b: Bucket, found: Runs, shared: np.ndarray, hot: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-        matter, at, gone = known(b, found, shared)
-        n = found.n[matter]
+        several, _, gone = known(b, found)
+        n = found.n[several]
         # A run whose windows a smaller id here holds has its answer; the smaller one asks.
-        open_ = np.add.reduceat(~gone, np.cumsum(n) - n) > 0 if len(n) else np.zeros(0, bool)
-        cold = matter[open_ & shared[matter] & ~hot[matter]]
-        warm = np.repeat(open_ & hot[matter], n) & ~gone
-        text = np.concatenate([found.text[cold], np.repeat(found.text[matter], n)[warm]])
-        start = np.concatenate([found.start[cold], at[warm]])
-        count = np.concatenate([found.n[cold], np.ones(int(warm.sum()), np.int64)])
-        label = np.concatenate([mix(found.anchor[cold]), window_hashes(b, length, at[warm])])
+        asks = shared.copy()
+        if len(n):
+            asks[several] &= np.add.reduceat(~gone, np.cumsum(n) - n) > 0
+        cold, warm = np.flatnonzero(asks & ~hot), np.flatnonzero(asks & hot)
+        at = spread(found.start[warm], found.n[warm])
+        text = np.concatenate([found.text[cold], np.repeat(found.text[warm], found.n[warm])])
+        start = np.concatenate([found.start[cold], at])
+        count = np.concatenate([found.n[cold], np.ones(len(at), np.int64)])
+        label = np.concatenate([mix(found.anchor[cold]), window_hashes(b, length, at)])
         out = []
         for p, (own, s, c) in by_part((label % np.uint64(parts)).astype(np.int64), b.ids[text], start, count):
             size = c + length - 1
@@ -141,12 +168,8 @@ def cut_repeated_bytes(df: DataFrame, length: int = LENGTH, id_column: str = "do
         name = np.array([names.setdefault(p, len(names)) for p in pieces], np.int64)
         holder = np.full(len(names), 2**63 - 1, np.int64)
         np.minimum.at(holder, name, ids)
-        size = np.array([len(p) for p in names], np.int64)
-        base = np.cumsum(size) - size
-        windows = size - length + 1
-        text = np.frombuffer(b"".join(names), np.uint8)
-        at = spread(base, windows)
-        least = least_ids(text, at, np.repeat(holder, windows), length)
+        least = least_by_name(list(names), holder, length)
+        windows = np.array([len(p) for p in names], np.int64) - length + 1
         # By stretch: its windows' least ids; a stretch sent by another id loses where that is smaller.
         begin = np.cumsum(windows) - windows
         place = spread(begin[name], count)
@@ -161,7 +184,7 @@ def cut_repeated_bytes(df: DataFrame, length: int = LENGTH, id_column: str = "do
 
     def finish(b: Bucket, found: Runs, answers: list[bytes]) -> pa.Table:
         edge = np.zeros(len(b.data) + 1, np.int32)
-        _, at, gone = known(b, found, np.zeros(len(found.n), bool))
+        _, at, gone = known(b, found)
         np.add.at(edge, at[gone], 1)
         np.add.at(edge, at[gone] + length, -1)
         for body in answers:
@@ -175,7 +198,7 @@ def cut_repeated_bytes(df: DataFrame, length: int = LENGTH, id_column: str = "do
         kept = [raw[x:y] for x, y in zip(upto[:-1], upto[1:], strict=True)]
         return pa.table({"doc_id": b.doc_id, "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(n - np.diff(upto), pa.int64()), "removed": stretches(lost, b.off), "kept": pa.array(kept, pa.binary())})
 
-    return repeats.cut_repeats(df, length, anchor, False, local, resolve, finish, "n_bytes long, n_removed long, removed array<struct<begin:bigint,size:bigint>>, kept binary", BUCKET_BYTES, id_column, text_column)
+    return repeats.cut_repeats(df, length, anchor, False, local, resolve, finish, "n_bytes long, n_removed long, removed array<struct<begin:bigint,size:bigint>>, kept binary", BUCKET_BYTES, PART_BYTES, id_column, text_column)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

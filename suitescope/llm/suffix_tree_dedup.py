@@ -24,7 +24,8 @@ from ._common import grams, inside, table
 from .repeats import Bucket, Runs, by_part, pack, runs, spread, unpack
 
 WINDOW, ANCHOR, PREFIX = 35, 8, 12
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 6_000_000
+PART_BYTES = 16_000_000
 
 
 def _again(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def cut_repeated_words(df: DataFrame, window: int = WINDOW, id_column: str = "do
         texts = [raw[ends[x] : max(ends[y] - 1, ends[x])].decode() for x, y in zip(upto[:-1], upto[1:], strict=True)]
         return pa.table({"doc_id": b.doc_id, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "repeats": stretches(gone, b.bounds), "kept_text": pa.array(texts, pa.string())})
 
-    return repeats.cut_repeats(df, window, anchor, True, local, resolve, finish, "n_words long, n_removed long, repeats array<struct<begin:bigint,size:bigint>>, kept_text string", BUCKET_BYTES, id_column, text_column)
+    return repeats.cut_repeats(df, window, anchor, True, local, resolve, finish, "n_words long, n_removed long, repeats array<struct<begin:bigint,size:bigint>>, kept_text string", BUCKET_BYTES, PART_BYTES, id_column, text_column)
 
 
 def stretches(gone: np.ndarray, bounds: np.ndarray) -> pa.Array:
