@@ -11,9 +11,9 @@ At similarity s a pair shares none of the 42 bands with probability (1 - s**6)**
 
 * Documents with equal sets form a class; only its least id goes on, so copies cost nothing.
 * In a band's bucket everyone is compared with its least id, the pivot.  Links found give
-  components.  Buckets that still hold several components are compared all against all in blocks
-  of 64 by their registers, without pairs that are linked already, so no link between different
-  texts is lost and groups of near copies never become pairs.
+  components.  Buckets that still hold several components are compared further, without pairs that
+  are linked already: up to SMALL members by pairs, larger ones in blocks that meet two by two and give
+  only links.  So no link between different texts is lost and groups never become pairs.
 * A comparison first estimates similarity from the registers, corrected for chance collisions;
   pairs six standard deviations below the threshold stop there.  The others are counted exactly on
   the full sets, made anew from whole texts.
@@ -40,7 +40,9 @@ from .components import components
 SHINGLE = 5
 BUCKETS, MANTISSA = 256, 10
 BAND, BANDS = 6, 42
-BLOCK, GROUP = 64, 256
+BLOCK, GROUP, SMALL = 128, 256, 32
+#: Width of the slices of an incidence matrix.
+COLUMNS = 16_384
 #: For each bucket, the order in which it asks the others for a register.
 _ASK = np.random.Generator(np.random.PCG64(104729)).random((BUCKETS, BUCKETS))
 #: Expected share of registers that agree by chance, for 256 buckets and 10 mantissa bits.
@@ -176,48 +178,99 @@ def _linked(pairs: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(crowd: DataFrame, comps: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs (a, b) in one bucket but not in one component, pivots apart: they were compared."""
+def _mixed(crowd: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, comp, size) of the rows of buckets that hold several components, pivots apart: they were compared."""
     rows = crowd.join(comps, crowd["rep"] == comps["node"], "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.where("rep <> pivot").join(mixed, "key").join(reps.select("rep", "n_shingles", "reg"), "rep")
-    order = Window.partitionBy("key")
-    rows = rows.withColumn("_block", F.floor((F.row_number().over(order.orderBy("rep")) - 1) / BLOCK).cast("int")).withColumn("_last", F.max("_block").over(order.orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    rows = rows.select("key", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "rep", "comp", "n_shingles", "reg")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_block", "rep")
-
-    def pairs_of(held: list[tuple], out: list[tuple[int, int]]) -> None:
-        """held: (i, j, block, rep, comp, n, reg) of one pair of blocks."""
-        if len(held) < 2:
-            return
-        reg = np.frombuffer(b"".join(x[6] for x in held), np.uint16).reshape(-1, BUCKETS)
-        block, rep, comp, size = (np.array([x[k] for x in held]) for k in (2, 3, 4, 5))
-        same = held[0][0] == held[0][1]
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    return rows.where("rep <> pivot").join(mixed, "key").select("key", "rep", "comp", "size")
+
+
+def _across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Hopeful pairs (a, b) in one small bucket but not in one component."""
+    rows = rows.join(reps.select("rep", "n_shingles", "reg"), "rep").select("key", "rep", "comp", "n_shingles", "reg")
+    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
+
+    def pairs_of(held: list[tuple]) -> list[tuple[int, int]]:
+        """held: (rep, comp, n, reg) of one bucket."""
+        reg = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, BUCKETS)
+        rep, comp, size = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        out = []
         for k in range(len(held) - 1):
-            rest = slice(k + 1, None)
-            ok = (comp[rest] != comp[k]) & hopeful(estimate(reg[rest], reg[k]), size[rest], np.full(len(held) - k - 1, size[k]), percent)
-            if not same:
-                ok &= block[rest] != block[k]
-            out += [(int(rep[k]), int(r)) for r in rep[rest][ok]]
+            ok = (comp[k + 1 :] != comp[k]) & hopeful(estimate(reg[k + 1 :], reg[k]), size[k + 1 :], np.full(len(held) - k - 1, size[k]), percent)
+            out += [(int(rep[k]), int(r)) for r in rep[k + 1 :][ok]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, row[0], row[1]) != at:
-                    pairs_of(held, out)
-                    held, at = [], (key, row[0], row[1])
+                if key != at:
+                    out += pairs_of(held)
+                    held, at = [], key
                 held.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
-        out = []
-        pairs_of(held, out)
-        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+            yield _pairs(out)
+        yield _pairs(pairs_of(held))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+def _common_counts(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a few sets, by products of slices of their incidence matrix."""
+    n = len(bounds) - 1
+    _, column = np.unique(h, return_inverse=True)
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def _within_groups(rows: DataFrame, crowd: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) across components within large buckets.
+
+    Large buckets that overlap are one group, so that a pair is looked at once, not once a band.  A
+    group is cut to blocks, and every two blocks meet in one task, which gives only the links.
+    """
+    large = rows.select("key").distinct()
+    together = components(crowd.join(large, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    members = rows.select("rep", "comp").distinct().join(together.withColumnRenamed("node", "rep").withColumnRenamed("component", "grp"), "rep")
+    order = Window.partitionBy("grp").orderBy("rep")
+    members = members.withColumn("_block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    members = members.withColumn("_last", F.max("_block").over(Window.partitionBy("grp")))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    members = members.select("grp", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "rep", "comp")
+    met = members.join(bodies, "rep").select("grp", "i", "j", "_block", "rep", "comp", "n_shingles", "reg", "text")
+
+    def meet(t: pa.Table) -> pa.Table:
+        block, rep, comp, size = (t[c].to_numpy() for c in ("_block", "rep", "comp", "n_shingles"))
+        reg = np.frombuffer(b"".join(t["reg"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        maybe = np.zeros((len(rep), len(rep)), bool)
+        for k in range(len(rep) - 1):
+            rest = slice(k + 1, None)
+            maybe[k, rest] = (comp[rest] != comp[k]) & hopeful(estimate(reg[rest], reg[k]), size[rest], np.full(len(rep) - k - 1, size[k]), percent)
+        if t["i"][0].as_py() != t["j"][0].as_py():
+            maybe &= block[:, None] != block[None]
+        at = np.flatnonzero(maybe.any(axis=0) | maybe.any(axis=1))
+        if not len(at):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        common = _common_counts(*shingle_sets(t["text"].combine_chunks().take(pa.array(at)), n))
+        union = size[at][:, None] + size[at][None] - common
+        x, y = np.nonzero(maybe[np.ix_(at, at)] & (100 * common >= percent * union))
+        return pa.table({"a": pa.array(rep[at[x]]), "b": pa.array(rep[at[y]])})
+
+    return met.groupBy("grp", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``df``; links: similarity of ``percent`` or more."""
     small_batches(df.sparkSession)
@@ -233,7 +286,10 @@ def near_duplicates(df: DataFrame, percent: int = 85, n: int = SHINGLE, id_colum
     star = crowd.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = checkpointed(_linked(star, bodies, percent, n), "links")
     comps = components(links)
-    more = checkpointed(_linked(checkpointed(_across(crowd, checkpointed(comps, "comps"), reps, percent), "across"), bodies, percent, n), "links")
+    mixed = checkpointed(_mixed(crowd, checkpointed(comps, "comps")), "mixed")
+    small = checkpointed(_across(mixed.where(f"size <= {SMALL}"), reps, percent), "across")
+    large = _within_groups(mixed.where(f"size > {SMALL}"), crowd, bodies, percent, n)
+    more = checkpointed(_linked(small, bodies, percent, n).unionByName(large), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = checkpointed(comps, "comps")
