@@ -323,3 +323,146 @@ def union_samples(spark, d):
     a = t(spark, d, "lineitem").select(F.lit("a").alias("side"), F.col("l_returnflag").alias("v"))
     b = t(spark, d, "orders").select(F.lit("b").alias("side"), F.col("o_orderstatus").alias("v"))
     return a.unionByName(b).groupBy("side", "v").agg(F.count("*").alias("n"))
+
+
+# Test files of both styles with their measures, worked out by hand.
+SOURCES = (
+    ("a/LoginTest.php", """<?php
+class LoginTest extends TestCase
+{
+    use RefreshDatabase;
+
+    public function test_logs_in(): void
+    {
+        $user = User::factory()->create();
+        $this->post('/in', ['email' => $user->email])->assertRedirect('/home');
+        $this->assertAuthenticatedAs($user);
+    }
+}
+"""),
+    ("b/Login.php", """<?php
+uses(RefreshDatabase::class);
+it('logs in', function () {
+    $user = User::factory()->create();
+    $this->post('/in', ['email' => $user->email])->assertRedirect('/home');
+    $this->assertAuthenticatedAs($user);
+});
+"""),
+    ("c/GatewayTest.php", """<?php
+class GatewayTest extends BaseTestCase {
+    public function test_charges(): void {
+        $this->mock(Gateway::class)->shouldReceive('charge')->once()->andReturn(true);
+        Http::fake();
+        if (true) { $this->assertTrue(app(Gateway::class)->charge(500)); }
+    }
+}
+"""),
+    ("d/BadTest.php", "<?php\nclass BadTest extends TestCase { function test_x() { $x = ;"),
+    ("e/readme.md", "nothing to run"),
+)
+
+
+def _read_sources(spark: SparkSession) -> DataFrame:
+    from ..extract import frames
+
+    return frames.read(spark.createDataFrame(list(SOURCES), "path string, content string"))
+
+
+@query("""SELECT * FROM (VALUES
+  ('a/LoginTest.php', 'test_logs_in', 'phpunit', 'feature', 'R1_http_call', 2, 0, 0, '', 3, 6, 6, 11, true, 'create=1,factory=1'),
+  ('b/Login.php', 'logs in', 'pest', 'feature', 'R1_http_call', 2, 0, 0, '', 3, 5, 3, 7, true, 'create=1,factory=1'),
+  ('c/GatewayTest.php', 'test_charges', 'phpunit', 'unit', 'R3_app_testcase_no_io', 1, 2, 4, 'container,facade_fake', 4, 5, 3, 7, false, '')
+) AS v(file_path, identifier, front_end, test_type, test_type_rule, assertion_count, mock_breadth, max_mock_chain_depth, mock_kinds, size_statements, size_loc, start_line, end_line, uses_refresh_database, setup_signals)""")
+def extract_fixture_tests(spark, d):
+    from ..extract import frames
+
+    o = frames.observations(_read_sources(spark), [])
+    signals = F.array_join(F.array_sort(F.transform(F.map_entries("setup_signals"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return o.select("file_path", "identifier", "front_end", "test_type", "test_type_rule", "assertion_count", "mock_breadth", "max_mock_chain_depth", F.array_join("mock_kinds", ",").alias("mock_kinds"), "size_statements", "size_loc", "start_line", "end_line", "uses_refresh_database", signals.alias("setup_signals"))
+
+
+@query("SELECT * FROM (VALUES ('a/LoginTest.php', 'parsed', 1), ('b/Login.php', 'parsed', 1), ('c/GatewayTest.php', 'parsed', 1), ('d/BadTest.php', 'failed', 0), ('e/readme.md', 'unroutable', 0)) AS v(path, status, n_tests)")
+def extract_status(spark, d):
+    return _read_sources(spark).select("path", "status", F.coalesce(F.size("tests"), F.lit(0)).alias("n_tests"))
+
+
+@query(f"""
+SELECT user_id, first(event_id ORDER BY ts, event_id) AS sha, min(ts) AS author_ts, CASE WHEN min(ts) < TIMESTAMP '2024-01-03' THEN 'pre' ELSE 'post' END AS ai_window
+FROM events WHERE event_type = 'purchase' GROUP BY 1""")
+def blame_window(spark, d):
+    from ..operators import attribution
+
+    e = t(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.struct("ts", "event_id").alias("seq"), F.col("event_id").alias("sha"), F.col("ts").alias("author_ts"))
+    return attribution.introduced_first(e, ["user_id"], "seq", "sha", "author_ts", "2024-01-03")
+
+
+# A small store: two majors, one test each, and rows that break each check.
+def _seed(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    repos = spark.createDataFrame([(1, "o/good"), (2, "o/bad")], "id long, full_name string")
+    snaps = spark.createDataFrame([(1, 1, 9, "version_boundary", "2022-01-01"), (2, 1, 10, "version_boundary", "2023-01-01"), (3, 2, 9, "version_boundary", "2023-01-01"), (4, 2, 9, "version_boundary", "2022-06-01"), (5, 2, 11, "version_boundary", "2021-01-01")], "id long, repository_id long, framework_version int, kind string, commit_date string").withColumn("commit_date", F.to_timestamp("commit_date"))
+    obs = spark.createDataFrame([(1, 1, 1, None), (2, 2, 1, "post"), (3, 2, 1, None), (4, 3, 2, None), (5, 1, 2, None), (6, 77, 1, None)], "id long, snapshot_id long, repository_id long, ai_window string")
+    fails = spark.createDataFrame([(1, 1), (2, 88)], "repository_id long, snapshot_id long")
+    return repos, snaps, obs, fails
+
+
+@query("""SELECT * FROM (VALUES
+  ('—', 0, 'orphan rows', 'FAIL', '3 orphan row(s)'),
+  ('o/bad', 1, 'majors strictly ascending', 'FAIL', '9 → 9 → 11'), ('o/bad', 2, 'no duplicate (repository, major)', 'FAIL', '1 duplicate(s)'), ('o/bad', 3, 'observations present', 'ok', '2 rows'),
+  ('o/bad', 4, 'empty snapshots', 'warn', 'majors 9, 11 have 0 observations'), ('o/bad', 5, 'snapshot dates monotonic', 'warn', 'representative dates are not in major order'),
+  ('o/bad', 6, 'instrument B coverage', 'warn', 'blame has not run — ai_window is empty'), ('o/bad', 7, 'parse-failure rate', 'ok', '33.33% (1 failures / 3 parsed+failed)'),
+  ('o/good', 1, 'majors strictly ascending', 'ok', '9 → 10'), ('o/good', 2, 'no duplicate (repository, major)', 'ok', 'none'), ('o/good', 3, 'observations present', 'ok', '4 rows'),
+  ('o/good', 6, 'instrument B coverage', 'ok', '50.0% unattributed (1 of 2, newest snapshot)'), ('o/good', 7, 'parse-failure rate', 'ok', '20.00% (1 failures / 5 parsed+failed)')
+) AS v(repository, seq, "check", status, detail)""")
+def verify_gate(spark, d):
+    return quality.verify(*_seed(spark))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS repository_id, CAST(year(o_orderdate) AS INT) AS major, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P')
+SELECT major, count(*) AS n, round(avg(o_totalprice), 3) AS mean, bool_and(o_totalprice IS NOT NULL) AS complete FROM o WHERE repository_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1""")
+def filtered_projection(spark, d):
+    """Equality and null filters, aliasing, and a semi join, all pushed to the scans."""
+    keys = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("repository_id"))
+    o = t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("repository_id"), F.year("o_orderdate").alias("major"), "o_totalprice")
+    return o.join(keys, "repository_id", "left_semi").groupBy("major").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean"), F.bool_and(F.col("o_totalprice").isNotNull()).alias("complete"))
+
+
+# The report's example, five tests before and five after the cutoff.
+REPORT_SEED = ((9, (1, 1, 2, 2, 3), ("unit", "unit", "unit", "feature", "feature"), "2021-03-01", "pre"), (10, (3, 3, 4, 4, 5), ("feature",) * 5, "2023-03-01", "post"))
+
+
+def _report(spark: SparkSession, cutoff: str | None = None) -> dict[str, DataFrame]:
+    from ..plans.report import report
+    from ..sources.store import filled
+
+    rows, k = [], 0
+    for s, (_, values, kinds, date, window) in enumerate(REPORT_SEED):
+        for v, kind in zip(values, kinds, strict=True):
+            k += 1
+            rows.append((k, s + 1, 1, f"t{k}", "tests/ATest.php", "phpunit", kind, v, 0, 0, 0, 0, date, window))
+    obs = spark.createDataFrame(rows, "id long, snapshot_id long, repository_id long, identifier string, file_path string, front_end string, test_type string, assertion_count int, mock_breadth int, max_mock_chain_depth int, size_statements int, size_loc int, introduced_author_date string, ai_window string")
+    snaps = spark.createDataFrame([(s + 1, 1, major, "version_boundary") for s, (major, *_) in enumerate(REPORT_SEED)], "id long, repository_id long, framework_version int, kind string")
+    return report(spark, filled(obs, "test_observations"), filled(snaps, "snapshots"), None, cutoff or "2022-11-30")
+
+
+@query("""SELECT * FROM (VALUES ('assertion_count', 9, 5, '1.80', '2.00', '0.84', '1.50'), ('assertion_count', 10, 5, '3.80', '4.00', '0.84', '1.50')) AS v(metric, framework_version, n, mean, median, sd, iqr)""")
+def report_descriptives(spark, d):
+    return _report(spark)["descriptives"].where("metric = 'assertion_count'").withColumn("n", F.col("n").cast("int"))
+
+
+@query("""SELECT * FROM (VALUES ('assertion_count', '2.000000', '-16.200000', '0.641026', 10), ('size_loc', '0.000000', '0.000000', '1.000000', 10)) AS v(metric, slope, intercept, r2, n)""")
+def report_regression(spark, d):
+    return _report(spark)["regression"].where("metric in ('assertion_count', 'size_loc')").withColumn("n", F.col("n").cast("int"))
+
+
+@query("""SELECT * FROM (VALUES ('assertion_count', 5, 5, '2.00', '4.00', '1.0', '-0.920', 'large')) AS v(metric, n_pre, n_post, median_pre, median_post, u, cliffs_delta, magnitude)""")
+def report_comparison(spark, d):
+    c = _report(spark)["ai_comparison"].where("metric = 'assertion_count'")
+    return c.select("metric", F.col("n_pre").cast("int").alias("n_pre"), F.col("n_post").cast("int").alias("n_post"), "median_pre", "median_post", "u", "cliffs_delta", "magnitude")
+
+
+@query("""SELECT * FROM (VALUES ('9', 5, '60.0', '40.0', '0.0', '0.0'), ('10', 5, '0.0', '100.0', '0.0', '0.0'), ('pre', 5, '60.0', '40.0', '0.0', '0.0'), ('post', 5, '0.0', '100.0', '0.0', '0.0')) AS v(k, n, "unit", feature, integration, "unknown")""")
+def report_types(spark, d):
+    blocks = _report(spark)
+    one = lambda name, key: blocks[name].select(F.col(key).cast("string").alias("k"), F.col("n").cast("int").alias("n"), "unit", "feature", "integration", "unknown")
+    return one("types_by_version", "framework_version").unionByName(one("types_by_window", "ai_window"))

@@ -54,15 +54,15 @@ class Store:
         fs.delete(aside, True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(_filled(df, name)))
+        self.write(name, self.read(name).unionByName(filled(df, name)))
 
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> None:
-        self.write(name, merged(self.read(name), _filled(df, name), keys))
+        self.write(name, merged(self.read(name), filled(df, name), keys))
 
     def replace(self, name: str, df: DataFrame, column: str, values: list) -> None:
         """Rows whose ``column`` is one of ``values`` give way to ``df``, even if that is empty."""
         kept = self.read(name).where(~F.col(column).isin(*values) | F.col(column).isNull()) if values else self.read(name)
-        self.write(name, kept.unionByName(_filled(df, name)))
+        self.write(name, kept.unionByName(filled(df, name)))
 
     def rebuild(self, name: str, where: Column, facts: DataFrame, key: str, columns: list[str]) -> None:
         """Reset ``columns`` of the rows that ``where`` holds for, then fill them from ``facts`` by ``key``."""
@@ -72,7 +72,7 @@ class Store:
         self.write(name, out.select(*rows.columns))
 
 
-def _filled(df: DataFrame, name: str) -> DataFrame:
+def filled(df: DataFrame, name: str) -> DataFrame:
     """``df`` with the table's columns, absent ones null."""
     have = set(df.columns)
     return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name]))
