@@ -24,10 +24,10 @@ def _versioned(keyword: str, label: str, name: str, versions: tuple[str, ...], l
     for v in versions:
         words = v.replace(".", " ")
         number = words if not words.endswith(" 0") else f"{words[:-2]}(?: 0)?"
-        rules.append((keyword, f"{label}-{v}", 90, f"{name}{_V} {number}"))
+        rules.append((keyword, f"{label}-{v}", 90, f"{name}{_V} v?{number}"))
         if later:
-            rules.append((keyword, f"{label}-{v}-or-later", 95, f"{name}{_V} {number} or(?: at your option)?(?: any)? later(?: version)?"))
-            rules.append((keyword, f"{label}-{v}-only", 95, f"{name}{_V} {number} only"))
+            rules.append((keyword, f"{label}-{v}-or-later", 95, f"{name}{_V} v?{number} or(?: at your option)?(?: any)? later(?: version)?"))
+            rules.append((keyword, f"{label}-{v}-only", 95, f"{name}{_V} v?{number} only"))
     return rules
 
 

@@ -125,7 +125,7 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, le
 def mixed_rows(mixed: DataFrame, seed: str = "mix", id_column: str = "doc_id") -> DataFrame:
     """One row for each copy, with ``copy`` and ``shard``, dealt by shard and shuffled within it."""
     rows = mixed.select(*(c for c in mixed.columns if c not in ("copy", "shard")), F.posexplode("shards").alias("copy", "shard"))
-    return rows.repartition("shard", F.pmod(F.xxhash64(F.lit(seed), id_column, "copy"), F.lit(8))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", id_column, "copy"))
+    return rows.repartition("shard", F.pmod(F.xxhash64(F.lit(seed), id_column, "copy"), F.lit(4096))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", id_column, "copy"))
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[Span]:
 # Generators: wide nets, each linear; a span may come from several.
 NETS = (
     ("email_spelled", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]{1,64}(?: ?(?:[(\[] ?dot ?[)\]]|\.) ?[A-Za-z0-9-]{2,24}){1,4}", re.I), ("(at", "[at", "( at", "[ at", "(AT", "[AT")),
-    ("phone_local", re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{3,4}(?![0-9])"), ()),
+    ("phone_local", re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"), ()),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), ("-",)),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), ()),
     ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,256}={0,2}(?![A-Za-z0-9_+/=-])"), ()),

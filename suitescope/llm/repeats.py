@@ -34,6 +34,8 @@ SLICE = 500_000
 #: Documents from which on an anchor counts as hot.
 HOT = 1_000
 LEAST_BUCKETS = 48
+#: Bytes below which a packet is not compressed.
+LEAST_PACKED = 256
 
 
 @dataclass
@@ -130,14 +132,17 @@ def by_part(part: np.ndarray, *columns: np.ndarray):
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as one compressed value."""
+    """Arrays of equal length as one value, compressed unless that would cost more than it saves."""
     raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + len(arrays[0]).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    head = len(arrays[0]).to_bytes(4, "little")
+    if len(raw) < LEAST_PACKED:
+        return head + b"\0\0\0\0" + raw
+    return head + len(raw).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpack(value: bytes, *kinds: str) -> list[np.ndarray]:
-    size, n = int.from_bytes(value[:8], "little"), int.from_bytes(value[8:16], "little")
-    raw = pa.Codec("zstd").decompress(value[16:], size, asbytes=True)
+    n, size = int.from_bytes(value[:4], "little"), int.from_bytes(value[4:8], "little")
+    raw = pa.Codec("zstd").decompress(value[8:], size, asbytes=True) if size else value[8:]
     out, at = [], 0
     for kind in kinds:
         width = np.dtype(kind).itemsize * n
