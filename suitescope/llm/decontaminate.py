@@ -294,4 +294,6 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """A row for each document that holds test items: its id, the items' ids as text, and the best one's figures."""
+    found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return found.select("doc_id", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "score", "question_overlap", "answer_overlap")

@@ -108,7 +108,7 @@ def test_other_results(spark):
     p = rows_of(pii.scan(docs))
     assert [(s.kind, s.begin, s.end) for s in p[8][0].spans] == [("email", 2, 8)] and p[2][0].spans == []
     c = rows_of(decontaminate.search(docs, benchmark(spark)))
-    assert c[4][0].items == [1] and c[5][0].contaminated and not c[3][0].contaminated and not c[2][0].contaminated
+    assert c[4][0]["items"] == [1] and c[5][0].contaminated and not c[3][0].contaminated and not c[2][0].contaminated
     assert decontaminate.search(docs, benchmark(spark).where("false")).where("contaminated").count() == 0
     q = rows_of(quality.score(docs.select("doc_id", "text"), None))
     assert q[1][0].score == 0.5 == q[2][0].score
