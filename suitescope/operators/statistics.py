@@ -132,16 +132,13 @@ def agreement(pairs: DataFrame, first: str, second: str, keys: Sequence[str] = (
     ``pairs`` holds one row for each item; a null label is a label of its own.  1 where chance alone
     agrees fully.  Groups without items have no row: the caller sees that nothing was compared.
     """
-    if not keys:
-        return agreement(pairs.withColumn("_all", F.lit(1)), first, second, ["_all"]).drop("_all")
     cells = pairs.select(*keys, F.coalesce(F.col(first).cast("string"), F.lit("\0")).alias("a"), F.coalesce(F.col(second).cast("string"), F.lit("\0")).alias("b"))
     cells = cells.groupBy(*keys, "a", "b").agg(F.count("*").cast("double").alias("c"))
     # Each cell speaks for its row and its column: the margins of both raters meet by label.
-    sides = F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("c").alias("x"), F.lit(0.0).alias("y")), F.struct(F.col("b").alias("label"), F.lit(0.0).alias("x"), F.col("c").alias("y"))))
-    margins = cells.select(*keys, sides.alias("s")).groupBy(*keys, F.col("s.label").alias("label")).agg(F.sum("s.x").alias("x"), F.sum("s.y").alias("y"))
-    expected = margins.groupBy(*keys).agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("y")).alias("chance"))
-    observed = cells.groupBy(*keys).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0.0)).alias("same"))
-    both = expected.join(observed, [*keys])
+    same, none = F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0.0), F.lit(0.0)
+    sides = F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("c").alias("x"), none.alias("y"), same.alias("same")), F.struct(F.col("b").alias("label"), none.alias("x"), F.col("c").alias("y"), none.alias("same"))))
+    margins = cells.select(*keys, sides.alias("s")).groupBy(*keys, F.col("s.label").alias("label")).agg(*(F.sum(f"s.{c}").alias(c) for c in ("x", "y", "same")))
+    both = margins.groupBy(*keys).agg(F.sum("x").alias("n"), F.sum(F.col("x") * F.col("y")).alias("chance"), F.sum("same").alias("same"))
     po, pe = F.col("same") / F.col("n"), F.col("chance") / (F.col("n") * F.col("n"))
     out = both.where("n > 0").select(*keys, F.col("n").cast("long").alias("n"), po.alias("observed"), pe.alias("expected"))
     out = out.withColumn("kappa", F.when(F.col("expected") >= 1, 1.0).otherwise(F.try_divide(F.col("observed") - F.col("expected"), 1 - F.col("expected"))))

@@ -230,8 +230,8 @@ def resolve_manifest(spark, d):
 
 @query("SELECT page_id, url FROM pages WHERE (url LIKE 'http://%' AND url LIKE '%#top') OR (url LIKE 'https://m.%' AND url LIKE '%ref=x')")
 def suite_path_filter(spark, d):
-    files = t(spark, d, "pages").select(F.lit("web").alias("repo"), F.regexp_replace("url", r"^(https?):/", "$1:").alias("path"), "page_id", "url")
-    suites = spark.createDataFrame([("web", "http:", "#top"), ("web", "http:", "#top"), ("web", "https:", "ref=x")], "repo string, dir string, suffix string")
+    files = t(spark, d, "pages").select(F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd").alias("repo"), F.regexp_replace("url", r"^(https?):/", "$1:").alias("path"), "page_id", "url")
+    suites = spark.createDataFrame([(r, d, s) for r in ("even", "odd") for d, s in (("http:", "#top"), ("http:", "#top"), ("https:", "ref=x"))], "repo string, dir string, suffix string")
     mobile = F.col("path").startswith("http:/") | F.col("path").startswith("https:/m.")
     return discovery.discover(files.where(mobile), suites).select("page_id", "url")
 
