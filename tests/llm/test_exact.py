@@ -337,6 +337,16 @@ def test_license_labels(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+def test_every_rule_needs_a_stem():
+    """What a pattern must hold, its optional parts taken out, has a stem or is cc by."""
+    for _, _, _, pattern in license_rules.rules():
+        must = pattern
+        while (cut := re.sub(r"\(\?:[^()]*\)(?:\?|\{0,\d+\})", "", must)) != must:
+            must = cut
+        must = must.replace("licen[sc]e", "license")
+        assert any(stem in must for stem in licenses.STEMS) or must.startswith("cc by"), pattern
+
+
 def test_license_rules_match_a_plain_scan(spark):
     """Suppression against a quadratic version over all rules."""
     rng = random.Random(3)
