@@ -34,6 +34,8 @@ SLICE = 500_000
 #: Documents from which on an anchor counts as hot.
 HOT = 1_000
 LEAST_BUCKETS = 48
+#: Text whose anchors meet in one part; windows need parts of their own size.
+ANCHOR_PART_BYTES = 48_000_000
 #: Bytes below which a packet is not compressed.
 LEAST_PACKED = 256
 
@@ -184,7 +186,8 @@ def cut_repeats(
     size = input_bytes(docs)
     small_batches(df.sparkSession)
     buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
-    parts = max(LEAST_BUCKETS // 2, -(-size // part_bytes))
+    parts = max(LEAST_BUCKETS // 2, -(-size // ANCHOR_PART_BYTES))
+    window_parts = max(LEAST_BUCKETS // 2, -(-size // part_bytes))
     docs = docs.withColumn("dk", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
     docs = docs.withColumn("bucket", F.pmod("dk", F.lit(buckets)).cast("int")).select("bucket", "dk", "id", "doc_id", "text")
 
@@ -235,7 +238,7 @@ def cut_repeats(
             return _table([], *_KINDS)
         b = open_bucket(rows, by_words)
         found = anchored(b, length, k)
-        return _table([(p, rows["bucket"][0].as_py(), body) for p, body in local(b, found, *_heard(found, replies), parts)], *_KINDS)
+        return _table([(p, rows["bucket"][0].as_py(), body) for p, body in local(b, found, *_heard(found, replies), window_parts)], *_KINDS)
 
     def settle(rows: pa.Table) -> pa.Table:
         packets = list(zip(rows["bucket"].to_pylist(), rows["body"].to_pylist(), strict=True))
