@@ -125,15 +125,14 @@ def forward_backward(unary: np.ndarray, stay: np.ndarray, bounds: np.ndarray) ->
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
     sizes = n[order]
-    active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(n.max(initial=0)))]
     potential = np.stack([np.zeros_like(unary), unary], axis=1).astype(np.float64)
     alpha, beta = potential.copy(), np.zeros_like(potential)
     starts, ends = bounds[:-1][order], bounds[1:][order] - 1
-    steps = [int((sizes > t).sum()) for t in range(len(active))]
+    # How many texts have a line at each step.
+    steps = np.searchsorted(-sizes, -np.arange(1, int(n.max(initial=0)) + 1), "right").tolist()
     for t in range(1, len(steps)):
         at = starts[: steps[t]] + t
         alpha[at] += _lse(alpha[at - 1][:, None, :] + stay.T[None])
-    pairs = np.zeros((2, 2))
     for t in range(len(steps) - 1, 0, -1):
         at = starts[: steps[t]] + t
         beta[at - 1] = _lse((potential[at] + beta[at])[:, None, :] + stay[None])
@@ -143,7 +142,7 @@ def forward_backward(unary: np.ndarray, stay: np.ndarray, bounds: np.ndarray) ->
     good = np.exp(np.minimum(alpha[:, 1] + beta[:, 1] - z, 0))
     later = np.ones(len(unary), bool)
     later[bounds[:-1]] = False
-    at = np.flatnonzero(later)
+    at, pairs = np.flatnonzero(later), np.zeros((2, 2))
     if len(at):
         joint = alpha[at - 1][:, :, None] + stay[None] + (potential[at] + beta[at])[:, None, :] - z[at][:, None, None]
         pairs = np.exp(joint).sum(axis=0)
@@ -157,10 +156,10 @@ def fit(x: np.ndarray, bounds: np.ndarray, label: np.ndarray, steps: int = 150,
     z = ((x - mean) / scale).astype(np.float64)
     y = np.repeat(label, n).astype(np.float64)
     share = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1)) / n
-    per_line = np.repeat(share, n) * 1.0
+    per_line = np.repeat(share, n)
     theta = np.zeros(z.shape[1] + 1 + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    later = n - 1
+    later = n - 1  # pairs of neighbouring lines
     seen = np.zeros((2, 2))
     for k in (0, 1):
         seen[k, k] = later[label == k].sum()
