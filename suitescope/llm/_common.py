@@ -23,6 +23,8 @@ BATCH_ROWS = 256
 BATCH_BYTES = 4_000_000
 #: Bytes of text that one vectorised step works on.
 CHUNK_BYTES = 2_000_000
+#: Bytes of words that are hashed at a time.
+HASHED_BYTES = 500_000
 #: White space that separates words in every contract here.
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -119,16 +121,20 @@ class Words:
         self.end = np.flatnonzero(word & (~after | first[1:])) + 1
         #: Words of text i are bounds[i] to bounds[i + 1].
         self.bounds = np.searchsorted(self.start, off)
+        self.hash = np.zeros(len(self.start), np.uint64)
         size = self.end - self.start
-        if len(size):
-            at = np.flatnonzero(word)
-            begin = np.cumsum(size) - size
-            within = np.arange(len(at)) - np.repeat(begin, size)
+        before_it = np.cumsum(size) - size
+        power = _powers(BASE_IN_WORD, int(size.max(initial=0)))
+        a = 0
+        while a < len(size):  # some words at a time: a hash in the making takes 32 bytes a byte
+            b = max(a + 1, int(np.searchsorted(before_it, before_it[a] + HASHED_BYTES, "right")))
+            part, begin = size[a:b], before_it[a:b] - before_it[a]
+            within = np.arange(int(part.sum())) - np.repeat(begin, part)
+            own = data[np.repeat(self.start[a:b], part) + within]
             with np.errstate(over="ignore"):
-                value = BYTE[_LOWER[data[at]] if lower else data[at]] * _powers(BASE_IN_WORD, int(size.max()))[within]
-                self.hash = mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+                value = BYTE[_LOWER[own] if lower else own] * power[within]
+                self.hash[a:b] = mix(np.add.reduceat(value, begin) + part.astype(np.uint64))
+            a = b
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
