@@ -14,6 +14,8 @@ from suitescope.llm._common import checkpointed, table
 
 #: Similarity, in percent, from which the pipeline treats documents as copies.
 NEAR_PERCENT = 80
+#: The key that tells rows apart while near copies are sought.
+ROW = "_row"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least id.
+    """Exactly one row of each group of near copies stays: the one with the least id, null ids last.
 
-    A document without words stands alone and stays; of rows without an id one of each group stays
-    only where no row with an id is in it.
+    Rows are told apart by a key given here, so ids may be null or repeated.  A document without words
+    stands alone and stays.  The keyed rows are written, so that each has one key in all plans.
     """
-    found = near_dedup.near_duplicates(docs, NEAR_PERCENT)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = checkpointed(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    found = near_dedup.near_duplicates(keyed, NEAR_PERCENT, id_column=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    stay = found.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(stay, ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

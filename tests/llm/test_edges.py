@@ -1,5 +1,8 @@
 """Every operator and stage on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +132,37 @@ def test_stages(spark, tmp_path):
     clean = {r.doc_id: r for r in corpus_pipeline.pii_stage(spark, docs, at).collect()}
     assert clean[8].text == "\U0001f600 [EMAIL]\x00 zero" and clean[8].n_chars == len(clean[8].text) and clean[2].text is None
     assert corpus_pipeline.run(spark, at).count() > 0
+
+
+def test_run_keeps_one_row_of_each_group(spark, tmp_path):
+    """run() against brute force over rows with null and repeated ids."""
+    r = random.Random(5)
+    base = [[f"{c}{i}" for i in range(60)] for c in "abcdef"]
+    variant = lambda b, k: " ".join([*b[:k], f"changed{k}", *b[k + 1 :]])
+    rows = [
+        (None, variant(base[0], 99)), (None, variant(base[0], 99)), (None, variant(base[0], 20)),  # only null ids
+        (4, variant(base[1], 99)), (4, variant(base[1], 99)), (None, variant(base[1], 30)),  # one id repeated
+        (5, variant(base[2], 99)), (5, variant(base[3], 30)), (3, variant(base[3], 99)),  # one id, two texts
+        (8, COPY), (9, " ".join(base[4][:30]) + " mail a@b.co " + " ".join(base[4][30:])),
+    ]
+    rows += [(r.choice([None, 11, 12, 13]), variant(base[5], r.choice([10, 25, 40, 99]))) for _ in range(12)]
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([(1, COPY)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(-1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
+
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    wanted = []  # for each group, the rows of which one stays
+    for g in set(group):
+        mine = [rows[k] for k in range(len(rows)) if group[k] == g and rows[k][1] != COPY]
+        least = min((i for i, _ in mine if i is not None), default=None)
+        if mine:
+            wanted.append({(i, t.replace("a@b.co", "[EMAIL]")) for i, t in mine if i == least})
+    # One source alone is drawn one and a half times, so each row has a copy numbered 0.
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.run(spark, at).where("copy = 0").collect())
+    assert sum(got.values()) == len(wanted) and all(sum(got[x] for x in w) == 1 for w in wanted)
