@@ -54,13 +54,13 @@ def rules() -> list[tuple[str, str, int, str]]:
     out += _versioned("open software", "osl", "open software licen[sc]e", ("1.0", "2.0", "2.1", "3.0"))
     out += _versioned("boost", "bsl", "boost software licen[sc]e", ("1.0",))
     out += _versioned("zope", "zpl", "zope public licen[sc]e", ("1.1", "2.0", "2.1"))
-    out += _versioned("php license", "php", "php licen[sc]e", ("3.0", "3.01"))
+    out += _versioned("php", "php", "php licen[sc]e", ("3.0", "3.01"))
     out += _versioned("sil open font", "ofl", "sil open font licen[sc]e", ("1.0", "1.1"))
-    out += _versioned("open data commons", "odbl", "open data(?:base| commons open database) licen[sc]e", ("1.0",))
+    out += _versioned("open data", "odbl", "open data(?:base| commons open database) licen[sc]e", ("1.0",))
     out += _versioned("latex project", "lppl", "latex project public licen[sc]e", ("1.0", "1.2", "1.3c"))
     out += _versioned("python software", "psf", "python software foundation licen[sc]e", ("2.0",))
     out += _versioned("business source", "busl", "business source licen[sc]e", ("1.1",))
-    out += _versioned("elastic license", "elastic", "elastic licen[sc]e", ("1.0", "2.0"))
+    out += _versioned("elastic", "elastic", "elastic licen[sc]e", ("1.0", "2.0"))
     out += _versioned("server side public", "sspl", "server side public licen[sc]e", ("1.0",))
     out += _versioned("microsoft public", "ms-pl", "microsoft public licen[sc]e", ())
     out += _versioned("microsoft reciprocal", "ms-rl", "microsoft reciprocal licen[sc]e", ())
@@ -69,11 +69,11 @@ def rules() -> list[tuple[str, str, int, str]]:
         for keyword, name in (("cc", f"cc {short}"), ("creative commons", f"creative commons {long}")):
             out += _versioned(keyword, label, name, ("1.0", "2.0", "2.5", "3.0", "4.0"))
     out += [
-        ("license", "mit", 70, "mit licen[sc]e"),
+        ("licen", "mit", 70, "mit licen[sc]e"),
         ("license", "mit", 60, "licensed under the mit"),
-        ("license", "mit", 60, "expat licen[sc]e"),
+        ("licen", "mit", 60, "expat licen[sc]e"),
         ("permission is hereby granted", "mit", 80, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-        ("license", "isc", 70, "isc licen[sc]e"),
+        ("licen", "isc", 70, "isc licen[sc]e"),
         ("permission to use", "isc", 75, "permission to use copy modify and or distribute this software for any purpose with or without fee"),
         ("bsd", "bsd", 50, "bsd licen[sc]e"),
         ("bsd", "bsd-2-clause", 80, "bsd 2 clause(?: licen[sc]e)?"),
@@ -97,15 +97,15 @@ def rules() -> list[tuple[str, str, int, str]]:
         ("zlib", "zlib", 70, "zlib(?: libpng)? licen[sc]e"),
         ("beerware", "beerware", 70, "beerware licen[sc]e"),
         ("postgresql", "postgresql", 70, "postgresql licen[sc]e"),
-        ("ruby license", "ruby", 70, "ruby licen[sc]e"),
-        ("vim license", "vim", 70, "vim licen[sc]e"),
+        ("ruby", "ruby", 70, "ruby licen[sc]e"),
+        ("vim", "vim", 70, "vim licen[sc]e"),
         ("openssl", "openssl", 70, "openssl licen[sc]e"),
         ("w3c", "w3c", 70, "w3c(?: software)? licen[sc]e"),
         ("intel open source", "intel", 70, "intel open source licen[sc]e"),
-        ("json license", "json", 70, "json licen[sc]e"),
+        ("json", "json", 70, "json licen[sc]e"),
         ("shall be used for good", "json", 80, "the software shall be used for good not evil"),
         ("university of illinois", "ncsa", 80, "university of illinois ncsa open source licen[sc]e"),
-        ("upl", "upl-1.0", 70, "universal permissive licen[sc]e"),
+        ("universal permissive", "upl-1.0", 70, "universal permissive licen[sc]e"),
         ("commons clause", "commons-clause", 70, "commons clause"),
         ("all rights reserved", "proprietary", 30, "all rights reserved"),
         ("proprietary", "proprietary", 40, "proprietary and confidential"),

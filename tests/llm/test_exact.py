@@ -347,6 +347,27 @@ def test_every_rule_needs_a_stem():
         assert any(stem in must for stem in licenses.STEMS) or must.startswith("cc by"), pattern
 
 
+@pytest.mark.parametrize("spelling", ["license", "licence"])
+def test_every_match_holds_its_keyword(spelling):
+    """In both spellings, and for each of a rule's alternatives, its optional parts taken out."""
+    for keyword, _, _, pattern in license_rules.rules():
+        must = pattern
+        while (cut := re.sub(r"\(\?:[^()]*\)(?:\?|\{0,\d+\})", "", must)) != must:
+            must = cut
+        must = [must.replace("licen[sc]e", spelling)]
+        while any("(?:" in x for x in must):
+            must = [x.replace(m[0], part, 1) for x in must for m in [re.search(r"\(\?:([^()]*)\)", x)] for part in m[1].split("|")]
+        assert all(keyword in x for x in must), pattern
+
+
+def test_license_labels_in_both_spellings(spark):
+    """Each name alone, with no other word that would open its gate."""
+    names = {"universal permissive": "upl-1.0", "open database": "odbl", "mit": "mit", "expat": "mit", "isc": "isc", "php": "php", "ruby": "ruby", "vim": "vim", "json": "json", "elastic": "elastic"}
+    texts = [(k, f"{name} {s}") for k, (name, s) in enumerate((n, s) for n in names for s in ("License", "Licence"))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {t: got[k] for k, t in texts} == {t: [names[t.rsplit(" ", 1)[0]]] for _, t in texts}
+
+
 def test_license_rules_match_a_plain_scan(spark):
     """Suppression against a quadratic version over all rules."""
     rng = random.Random(3)
