@@ -22,7 +22,6 @@ from ..sources.store import Store
 from . import report as reports
 
 STAGES = ("acquire", "snapshot", "extract", "blame", "verify")
-SUFFIXES = (".php", ".xml", ".xml.dist", ".json")
 
 
 class CommandFailed(Exception):
@@ -82,8 +81,12 @@ def extract(store: Store, full_name: str, head: bool = False) -> DataFrame:
     snaps = store.read("snapshots").where(mine & which).orderBy("framework_version").collect()  # one a major
     if not snaps:
         raise CommandFailed("No snapshots: run snapshot first.")
-    files = git.read_trees(store.spark, [(full_name, repo.clone_path, s.commit_sha) for s in snaps], SUFFIXES).withColumn("repo", F.col("sha"))
-    suites = discovery.suites(files, files)
+    # Configurations first: the suites' own suffixes say which files to read.
+    trees = [(full_name, repo.clone_path, s.commit_sha) for s in snaps]
+    shas = store.spark.createDataFrame([(s.commit_sha,) for s in snaps], "repo string")
+    suites = discovery.suites(git.read_trees(store.spark, trees, discovery.CONFIGS).withColumn("repo", F.col("sha")), shas).cache()
+    ends = tuple(r.suffix for r in suites.select("suffix").distinct().collect())
+    files = git.read_trees(store.spark, trees, ends).withColumn("repo", F.col("sha"))
     inside = discovery.discover(files, suites).select(F.col("sha").alias("commit_sha"), "path", "content")
     ids = store.spark.createDataFrame([(s.id, s.commit_sha) for s in snaps], "snapshot_id long, commit_sha string")
     read = frames.read(inside.join(ids, "commit_sha").withColumn("repository_id", F.lit(repo.id))).cache()

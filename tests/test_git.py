@@ -67,6 +67,15 @@ def test_snapshots_and_extraction(store, tmp_path):
         C.acquire(store, "no-slash", root)
 
 
+def test_suites_name_their_own_suffix(store, tmp_path):
+    config = '<phpunit><testsuites><testsuite><directory suffix=".inc">specs</directory></testsuite></testsuites></phpunit>'
+    commit(tmp_path / "clone", "2024-01-01T10:00:00+00:00", {"composer.json": manifest("^10.0"), "phpunit.xml": config, "specs/A.inc": cls("A", "test_a"), "specs/B.php": cls("B", "test_b")})
+    C.acquire(store, "o/r", str(tmp_path / "clone"))
+    C.snapshot(store, "o/r")
+    C.extract(store, "o/r")
+    assert {r.file_path for r in store.read("test_observations").collect()} == {"specs/A.inc"}
+
+
 def test_attribution(store, tmp_path):
     root = str(tmp_path / "repo")
     closure = "<?php\nit('old', function () {\n    expect(1)->toBe(1);\n});\n"
