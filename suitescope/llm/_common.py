@@ -78,10 +78,10 @@ def _random_table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, 256, dtype=np.uint64)
 
 
-#: A random 64-bit value for each byte, and the odd bases of the rolling polynomials.
+#: A random 64-bit value for each byte, the odd base of the rolling polynomial over values, and odd steps.
 BYTE = _random_table(7919)
-BASE_IN_WORD = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE = np.uint64(0xD1342543DE82EF95)
+STEP, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
@@ -96,12 +96,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros beyond the end, as one number; also at the end itself."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", buffer=padded.data, strides=(1,))
+
+
+def stretches_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items with about ``limit`` of size each; a larger item stands alone."""
+    end = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(end, end[a] - sizes[a] + limit, "right")))
+        yield a, b
+        a = b
+
+
+def word_blocks(eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks of eight bytes of all words, the last of a word filled with zeros; each one's place in its word; where words begin)."""
+    n = (size + 7) >> 3
+    begin = np.cumsum(n) - n
+    turn = np.arange(int(n.sum())) - np.repeat(begin, n)
+    left = np.repeat(size, n) - 8 * turn
+    value = eight[np.repeat(start, n) + 8 * turn]
+    cut = np.flatnonzero(left < 8)
+    value[cut] &= np.uint64(2**64 - 1) >> (8 * (8 - left[cut])).astype(np.uint64)
+    return value, turn, begin
 
 
 class Words:
@@ -123,18 +143,40 @@ class Words:
         self.bounds = np.searchsorted(self.start, off)
         self.hash = np.zeros(len(self.start), np.uint64)
         size = self.end - self.start
-        before_it = np.cumsum(size) - size
-        power = _powers(BASE_IN_WORD, int(size.max(initial=0)))
-        a = 0
-        while a < len(size):  # some words at a time: a hash in the making takes 32 bytes a byte
-            b = max(a + 1, int(np.searchsorted(before_it, before_it[a] + HASHED_BYTES, "right")))
-            part, begin = size[a:b], before_it[a:b] - before_it[a]
-            within = np.arange(int(part.sum())) - np.repeat(begin, part)
-            own = data[np.repeat(self.start[a:b], part) + within]
+        eight = eights(_LOWER[data] if lower else data)
+        # Each block is mixed with its place and their sum is mixed again: no polynomial, whose values
+        # agree for regular words however random its base.  Some words at a time, to bound memory.
+        for a, b in stretches_of(size, HASHED_BYTES):
+            value, turn, begin = word_blocks(eight, self.start[a:b], size[a:b])
             with np.errstate(over="ignore"):
-                value = BYTE[_LOWER[own] if lower else own] * power[within]
-                self.hash[a:b] = mix(np.add.reduceat(value, begin) + part.astype(np.uint64))
-            a = b
+                value = mix(mix(value + STEP) + PLACE * (turn + 1).astype(np.uint64))
+                self.hash[a:b] = mix(np.add.reduceat(value, begin) + STEP * size[a:b].astype(np.uint64))
+
+
+def exact_ids(words: Words, at: np.ndarray) -> np.ndarray:
+    """A number from 0 on for each of the words ``at``, the same just where the words' bytes are.
+
+    Hashes only bring equal words together; every word is compared with the first of its hash.
+    """
+    start, size, key = words.start[at], (words.end - words.start)[at], words.hash[at]
+    order = np.argsort(key, kind="stable")
+    s, e = runs(key[order])
+    out = np.empty(len(at), np.int64)
+    out[order] = np.repeat(np.arange(len(s)), e - s)
+    like = np.empty(len(at), np.int64)
+    like[order] = np.repeat(order[s], e - s)
+    same, eight = bool((size == size[like]).all()), eights(words.data)
+    for a, b in stretches_of(size, HASHED_BYTES):
+        if not same:
+            break
+        mine, _, _ = word_blocks(eight, start[a:b], size[a:b])
+        theirs, _, _ = word_blocks(eight, start[like[a:b]], size[a:b])
+        same = bool((mine == theirs).all())
+    if same:
+        return out
+    names: dict[bytes, int] = {}  # different words with one hash
+    raw = words.data.tobytes()
+    return np.array([names.setdefault(raw[x : x + n], len(names)) for x, n in zip(start.tolist(), size.tolist(), strict=True)], np.int64)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -200,32 +242,72 @@ def documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
 
+def integral(df: DataFrame, column: str) -> bool:
+    return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(df: DataFrame, id_column: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(``df`` with ``name``, a long that orders rows as the ids do, null where the id is; and (id, ``name``) of all ids).
+
+    Integral ids are their own numbers (then the second is None).  Others, such as text, are sorted by
+    ranges and numbered in that order, in a written table.
+    """
+    if integral(df, id_column):
+        return df.withColumn(name, F.col(id_column).cast("long")), None
+    ids = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id")).distinct()
+    ids = checkpointed(ids.repartitionByRange("_id").sortWithinPartitions("_id").withColumn(name, F.monotonically_increasing_id()), "ids")
+    return df.join(ids, df[id_column] == ids["_id"], "left").drop("_id"), ids
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share; one is chosen here only where none is set and all run on this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = given.get() if given.isDefined() else None
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        top = "/tmp/suitescope-checkpoints"
+    return top.rstrip("/")
+
+
 def checkpointed(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it again: the lineage ends there.
 
-    The folder is the session's spark.checkpoint.dir, which all executors see; one is chosen here
-    only where none is set, as in tests on one machine.  Files go when the driver ends.
+    Files go when ``forget`` is called or the driver ends.
     """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/suitescope-checkpoints"
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``checkpointed`` gave as ``df``; nothing may read it any more."""
+    entry = (df.sparkSession, df._written_at)
+    _written.remove(entry)
+    _remove(*entry)
 
 
 def remove_written() -> None:
     """Delete all tables that ``checkpointed`` wrote in this session's life."""
     while _written:
-        spark, path = _written.pop()
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(*_written.pop())
         except Exception:  # noqa: BLE001  the session has ended already; the folder is scratch space
             continue
 

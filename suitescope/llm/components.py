@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,18 +20,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = both.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out if large else out.distinct()  # what the large star repeats, the small one takes together
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b); component: the least node reachable.
 
-    Every round is written to the shared checkpoint folder.  Ends when a round changes nothing.
+    Every round is written to the shared checkpoint folder, and the one before it deleted.  Ends when a round changes nothing.
     """
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        edges = checkpointed(_star(_star(edges, large=True), large=False), "edges")
+        last, edges = edges, checkpointed(_star(_star(edges, large=True), large=False), "edges")
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -9,19 +9,28 @@ are similar.  Bands of six registers give the candidates.
 
 At similarity s a pair shares none of the 42 bands with probability (1 - s**6)**42: 2e-9 at 0.85.
 
-* Documents with equal sets form a class; only its least id goes on, so copies cost nothing.
-* In a band's bucket everyone is compared with its least id, the pivot.  Links found give
+* Documents with equal sets form a class, which is one node; copies cost nothing.
+* In a band's bucket everyone is compared with its least node, the pivot.  Links found give
   components.  Buckets that still hold several components are compared further, without pairs that
   are linked already: up to SMALL members by pairs, larger ones in blocks that meet two by two and give
-  only links.  So no link between different texts is lost and groups never become pairs.
+  as many links as join what they join.  So no link between different texts changes a component unseen
+  and groups never become pairs.
 * A comparison first estimates similarity from the registers, corrected for chance collisions;
-  pairs six standard deviations below the threshold stop there.  The others are counted exactly on
-  the full sets, made anew from whole texts.
+  pairs six standard deviations below the threshold stop there.  Only for the others are texts sent,
+  their sets made anew from whole texts and counted exactly.
 * A pivot with many candidates is dealt out to groups of 256, each with its own copy of the pivot.
-
-Null text or text without words: an empty set, linked with nothing.  Rows that share an id count as
-one document.  A null id is never a component's name: such a row gets its class's least id, and is
-not kept; null if all are null.
+  A bucket's pivot is an aggregate, made where the rows are before they meet.
+
+SMALL, GROUP, BLOCK and BROADCAST_IDS choose between ways to the same rows, by size.
+
+Words are hashed to 64 bits by no polynomial, and sets are counted on hashes of five words; two different
+shingles of one pair of documents agree with a probability of about their number squared times 2**-64.
+Null text or text without words: an empty set, linked with nothing.  Every row is judged by its own text,
+so rows that share an id may be in different components; repeated rows are in one.  A null id is never a
+component's name: such a row gets its class's least id, and is not kept; null if all ids of its component
+are null.  Ids may be of any type with an order.  Ties don't matter: a component's name is the least id.
+Very long texts are hashed some words at a time.  An empty table gives an empty one.  Columns other than
+the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +41,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import Words, checkpointed, chunks, documents, grams, map_arrow, mix, small_batches, table, utf8
 from .components import components
@@ -112,10 +120,10 @@ def hopeful(est: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) ->
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, reg): two independent sums that name the set, and the registers."""
+    """(doc_id, t1, t2, n_shingles, set_a, set_b, reg) of (doc_id, t1, t2, text): two independent sums name the set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h, bounds = shingle_sets(batch.column(1), n)
+        h, bounds = shingle_sets(batch.column(3), n)
         size = np.diff(bounds)
         some = np.flatnonzero(size)
         names = np.zeros((2, len(size)), np.uint64)
@@ -124,80 +132,97 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 names[0, some] = np.add.reduceat(mix(h), bounds[some])
                 names[1, some] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds[some])
         reg = [r.tobytes() for r in registers(h, bounds)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(reg, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "reg"])
+        own = [*batch.columns[:3], pa.array(size, pa.int64()), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), pa.array(reg, pa.binary())]
+        return pa.RecordBatch.from_arrays(own, names=["doc_id", "t1", "t2", "n_shingles", "set_a", "set_b", "reg"])
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, set_a long, set_b long, reg binary")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_shingles long, set_a long, set_b long, reg binary")
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """(key, rep): one row for each band of each representative."""
+    """(key, node): one row for each band of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reg = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             keys = band_hashes(reg).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
-    return reps.select("rep", "reg").mapInArrow(run, "key long, rep long")
+    return reps.select("node", "reg").mapInArrow(run, "key long, node long")
 
 
-def _linked(pairs: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough, from ``bodies`` (rep, n_shingles, reg, text)."""
+def _dealt(pairs: DataFrame, bodies: DataFrame, column: str) -> DataFrame:
+    """(a, part, role, node, n_shingles, ``column``): each a (role 0) before up to GROUP of its bs, in one partition."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_parts"))
-    asked = pairs.join(many, "a").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), F.lit(1).alias("role"))
-    asked = asked.unionByName(many.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("role")))
-    rows = asked.join(bodies, "rep").select("a", "part", "role", "rep", "n_shingles", "reg", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    asked = pairs.join(many, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    asked = asked.unionByName(many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("role")))
+    rows = asked.join(bodies, "node").select("a", "part", "role", "node", "n_shingles", column)
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+
+
+def _hopeful_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that may be similar enough by their registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own, own_reg, own_n = None, None, None, 0
-        for batch in (c for b in batches for c in chunks(b)):
-            a, role, rep, size = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+        own_reg, own_n = None, 0
+        for batch in batches:
+            a, role, node, size = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
             reg = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            # Estimates first: only rows that pass, and pivots, have their sets made.
             cuts = np.flatnonzero(role == 0)
             hope = np.zeros(len(a), bool)
-            hope[cuts] = True
-            spans = [*([(0, cuts[0] if len(cuts) else len(a), own_reg, own_n)] if pivot is not None else []), *((c + 1, e, reg[c], size[c]) for c, e in zip(cuts, [*cuts[1:], len(a)], strict=False))]
+            spans = [*([(0, cuts[0] if len(cuts) else len(a), own_reg, own_n)] if own_reg is not None else []), *((c + 1, e, reg[c], size[c]) for c, e in zip(cuts, [*cuts[1:], len(a)], strict=False))]
             for s, e, r, k in spans:
                 if e > s:
                     hope[s:e] = hopeful(estimate(reg[s:e], r), size[s:e], np.full(e - s, k), percent)
-            at = np.flatnonzero(hope)
-            h, bounds = shingle_sets(batch.column(6).take(pa.array(at)), n)
+            if len(cuts):
+                own_reg, own_n = reg[cuts[-1]].copy(), size[cuts[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[hope]), pa.array(node[hope])], names=["a", "b"])
+
+    return _dealt(pairs, reps.select("node", "n_shingles", "reg"), "reg").mapInArrow(run, "a long, b long")
+
+
+def _linked(pairs: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are similar enough, from ``bodies`` (node, n_shingles, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, own = None, None
+        for batch in (c for b in batches for c in chunks(b)):
+            a, role, node = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            h, bounds = shingle_sets(batch.column(5), n)
             found = []
-            for i, s, e in zip(at, bounds[:-1], bounds[1:], strict=True):
+            for i, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 mine = h[s:e]
                 if role[i] == 0:
-                    pivot, own, own_reg, own_n = a[i], mine, reg[i].copy(), size[i]
+                    pivot, own = a[i], mine
                     continue
                 assert pivot == a[i]
                 common = len(np.intersect1d(own, mine, assume_unique=True))
                 if 100 * common >= percent * (len(own) + len(mine) - common):
-                    found.append((a[i], rep[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                    found.append((a[i], node[i]))
+            yield _pairs(found)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return _dealt(pairs, bodies, "text").mapInArrow(run, "a long, b long")
 
 
 def _mixed(crowd: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, comp, size) of the rows of buckets that hold several components, pivots apart: they were compared."""
-    rows = crowd.join(comps, crowd["rep"] == comps["node"], "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("comp"))
+    """(key, node, comp, size) of the rows of buckets that hold several components, pivots apart: they were compared."""
+    rows = crowd.join(comps, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    return rows.where("rep <> pivot").join(mixed, "key").select("key", "rep", "comp", "size")
+    return rows.where("node <> pivot").join(mixed, "key").select("key", "node", "comp", "size")
 
 
 def _across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Hopeful pairs (a, b) in one small bucket but not in one component."""
-    rows = rows.join(reps.select("rep", "n_shingles", "reg"), "rep").select("key", "rep", "comp", "n_shingles", "reg")
-    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
+    rows = rows.join(reps.select("node", "n_shingles", "reg"), "node").select("key", "node", "comp", "n_shingles", "reg")
+    rows = rows.repartition("key").sortWithinPartitions("key", "node")
 
     def pairs_of(held: list[tuple]) -> list[tuple[int, int]]:
-        """held: (rep, comp, n, reg) of one bucket."""
+        """held: (node, comp, n, reg) of one bucket."""
         reg = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, BUCKETS)
-        rep, comp, size = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        node, comp, size = (np.array([x[k] for x in held], np.int64) for k in range(3))
         out = []
         for k in range(len(held) - 1):
             ok = (comp[k + 1 :] != comp[k]) & hopeful(estimate(reg[k + 1 :], reg[k]), size[k + 1 :], np.full(len(held) - k - 1, size[k]), percent)
-            out += [(int(rep[k]), int(r)) for r in rep[k + 1 :][ok]]
+            out += [(int(node[k]), int(r)) for r in node[k + 1 :][ok]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,29 +260,47 @@ def _common_counts(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _within_groups(rows: DataFrame, crowd: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFrame:
-    """Links (a, b) across components within large buckets.
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> list[int]:
+    """Places of links x to y, numbers below n, that join all that the links join, and no more than that takes."""
+    parent, out = list(range(n)), []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        i, j = top(i), top(j)
+        if i != j:
+            parent[j] = i
+            out.append(k)
+    return out
+
+
+def _within_groups(rows: DataFrame, crowd: DataFrame, bodies: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (a, b) that join components within large buckets.
 
     Large buckets that overlap are one group, so that a pair is looked at once, not once a band.  A
-    group is cut to blocks, and every two blocks meet in one task, which gives only the links.
+    group is cut to blocks by a hash, and every two blocks meet in one task, which gives only a spanning
+    part of the links it finds: fewer than it has members.
     """
     large = rows.select("key").distinct()
-    together = components(crowd.join(large, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    members = rows.select("rep", "comp").distinct().join(together.withColumnRenamed("node", "rep").withColumnRenamed("component", "grp"), "rep")
-    order = Window.partitionBy("grp").orderBy("rep")
-    members = members.withColumn("_block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    members = members.withColumn("_last", F.max("_block").over(Window.partitionBy("grp")))
-    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    members = members.select("grp", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "rep", "comp")
-    met = members.join(bodies, "rep").select("grp", "i", "j", "_block", "rep", "comp", "n_shingles", "reg", "text")
+    together = components(crowd.join(large, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    members = rows.select("node", "comp").distinct().join(together.withColumnRenamed("component", "grp"), "node")
+    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    members = members.join(blocks, "grp").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    members = members.select("grp", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j"), "_block", "node", "comp")
+    met = members.join(bodies.join(reps.select("node", "reg"), "node"), "node").select("grp", "i", "j", "_block", "node", "comp", "n_shingles", "reg", "text")
 
     def meet(t: pa.Table) -> pa.Table:
-        block, rep, comp, size = (t[c].to_numpy() for c in ("_block", "rep", "comp", "n_shingles"))
+        block, node, comp, size = (t[c].to_numpy() for c in ("_block", "node", "comp", "n_shingles"))
         reg = np.frombuffer(b"".join(t["reg"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        maybe = np.zeros((len(rep), len(rep)), bool)
-        for k in range(len(rep) - 1):
+        maybe = np.zeros((len(node), len(node)), bool)
+        for k in range(len(node) - 1):
             rest = slice(k + 1, None)
-            maybe[k, rest] = (comp[rest] != comp[k]) & hopeful(estimate(reg[rest], reg[k]), size[rest], np.full(len(rep) - k - 1, size[k]), percent)
+            maybe[k, rest] = (comp[rest] != comp[k]) & hopeful(estimate(reg[rest], reg[k]), size[rest], np.full(len(node) - k - 1, size[k]), percent)
         if t["i"][0].as_py() != t["j"][0].as_py():
             maybe &= block[:, None] != block[None]
         at = np.flatnonzero(maybe.any(axis=0) | maybe.any(axis=1))
@@ -266,50 +309,55 @@ def _within_groups(rows: DataFrame, crowd: DataFrame, bodies: DataFrame, percent
         common = _common_counts(*shingle_sets(t["text"].combine_chunks().take(pa.array(at)), n))
         union = size[at][:, None] + size[at][None] - common
         x, y = np.nonzero(maybe[np.ix_(at, at)] & (100 * common >= percent * union))
-        return pa.table({"a": pa.array(rep[at[x]]), "b": pa.array(rep[at[y]])})
+        _, held = np.unique(comp[at], return_inverse=True)  # what is in one component is joined already
+        some = spanning(held[x], held[y], len(at))
+        return pa.table({"a": pa.array(node[at[x[some]]], pa.int64()), "b": pa.array(node[at[y[some]]], pa.int64())})
 
     return met.groupBy("grp", "i", "j").applyInArrow(meet, "a long, b long")
 
 
+#: Up to so many representatives, 40 bytes each and their id, are sent to all executors to fetch their texts.
+BROADCAST_IDS = 1_000_000
+
+
+def _bodies(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n_shingles, text) of the representatives of ``nodes``, each the text of one row with its id and digests."""
+    wanted = checkpointed(reps.join(nodes, "node", "left_semi").select("node", "n_shingles", "label", "t1", "t2"), "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    on = (docs["t1"] == ids["t1"]) & (docs["t2"] == ids["t2"]) & docs["doc_id"].eqNullSafe(ids["label"])
+    return docs.join(ids, on).select("node", "n_shingles", "text").dropDuplicates(["node"])
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``df``; links: similarity of ``percent`` or more."""
     small_batches(df.sparkSession)
-    docs = documents(df, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = documents(df, id_column, text_column).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
     sig = checkpointed(signatures(docs, n), "sig")
     name = ["n_shingles", "set_a", "set_b"]
-    classes = sig.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
-    reps = checkpointed(sig.withColumn("rep", F.col("doc_id")).join(classes, [*name, "rep"]).dropDuplicates(["rep", *name]).select("rep", "n_shingles", "reg"), "reps")
-
-    crowd = _banded(reps).withColumn("pivot", F.min("rep").over(Window.partitionBy("key"))).withColumn("_most", F.max("rep").over(Window.partitionBy("key")))
-    crowd = checkpointed(crowd.where("pivot <> _most").select("key", "rep", "pivot"), "crowd")
-    bodies = checkpointed(_bodies(docs, reps, crowd), "bodies")
-    star = crowd.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpointed(_linked(star, bodies, percent, n), "links")
-    comps = components(links)
-    mixed = checkpointed(_mixed(crowd, checkpointed(comps, "comps")), "mixed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("f")
+    classes = sig.where("n_shingles > 0").groupBy(*name).agg(first, F.first("reg").alias("reg"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), *name, F.col("f.doc_id").alias("label"), "f.t1", "f.t2", "reg")
+    reps = checkpointed(classes, "reps")
+
+    banded = _banded(reps)
+    pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_most")).where("pivot <> _most").select("key", "pivot")
+    crowd = checkpointed(banded.join(pivots, "key").select("key", "node", "pivot"), "crowd")
+    star = crowd.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    bodies = checkpointed(_bodies(docs, reps, crowd.select("node").distinct()), "bodies")
+    links = checkpointed(_linked(checkpointed(_hopeful_pairs(star, reps, percent), "pairs"), bodies, percent, n), "links")
+    comps = checkpointed(components(links), "comps")
+    mixed = checkpointed(_mixed(crowd, comps), "mixed")
     small = checkpointed(_across(mixed.where(f"size <= {SMALL}"), reps, percent), "across")
-    large = _within_groups(mixed.where(f"size > {SMALL}"), crowd, bodies, percent, n)
+    large = _within_groups(mixed.where(f"size > {SMALL}"), crowd, bodies, reps, percent, n)
     more = checkpointed(_linked(small, bodies, percent, n).unionByName(large), "links")
     if not more.isEmpty():
-        comps = components(links.unionByName(more))
-    comps = checkpointed(comps, "comps")
-    of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select(*name, F.coalesce("component", "rep").alias("component_id"))
-    out = sig.join(of_class, name, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+        comps = checkpointed(components(links.unionByName(more)), "comps")
+    comps = comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct())  # with the least nodes themselves
+    least = comps.join(reps.select("node", "label"), "node").groupBy("component").agg(F.min("label").alias("least"))
+    of_class = reps.join(comps, "node", "left").join(least, "component", "left").select(*name, F.coalesce("least", "label").alias("component_id"))
+    out = sig.select("doc_id", *name).join(of_class, name, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-#: Up to so many ids, which are 8 bytes each, the semi-join below sends them to all executors.
-BROADCAST_IDS = 1_000_000
-
-
-def _bodies(docs: DataFrame, reps: DataFrame, crowd: DataFrame) -> DataFrame:
-    """(rep, n_shingles, reg, text) of the representatives that share a band with another."""
-    wanted = checkpointed(crowd.select("rep").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    ids = F.broadcast(wanted) if few else wanted
-    texts = docs.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi").dropDuplicates(["rep"])
-    return texts.join(reps.join(ids, "rep", "left_semi"), "rep").select("rep", "n_shingles", "reg", "text")
-
-
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

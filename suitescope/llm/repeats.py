@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BYTE, Words, documents, grams, input_bytes, inside, mix, runs, sliding_min, small_batches, utf8
+from ._common import BYTE, Words, documents, grams, input_bytes, inside, mix, numbered, runs, sliding_min, small_batches, utf8
 
 #: Tokens hashed at a time.
 SLICE = 500_000
@@ -182,13 +182,13 @@ def cut_repeats(
     may hold; shared and hot say for each run whether its anchor is.  ``resolve``(packets of a part, as
     (bucket, body)): answers (bucket, body).  ``finish``(bucket, runs, answers): its documents' rows.
     """
-    docs = documents(df, id_column, text_column).withColumn("text", F.coalesce("text", F.lit("")))
+    docs, _ = numbered(documents(df, id_column, text_column).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "id")
     size = input_bytes(docs)
     small_batches(df.sparkSession)
     buckets = max(LEAST_BUCKETS, -(-size // bucket_bytes))
     parts = max(LEAST_BUCKETS // 2, -(-size // ANCHOR_PART_BYTES))
     window_parts = max(LEAST_BUCKETS // 2, -(-size // part_bytes))
-    docs = docs.withColumn("dk", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    docs = docs.withColumn("dk", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce("id", F.lit(2**63 - 1)))
     docs = docs.withColumn("bucket", F.pmod("dk", F.lit(buckets)).cast("int")).select("bucket", "dk", "id", "doc_id", "text")
 
     def send(rows: pa.Table) -> pa.Table:
