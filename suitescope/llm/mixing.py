@@ -4,20 +4,31 @@
    dealt by weight, no source above ``cap`` times its own words, the excess going to the others.
    Sorted by how soon they fill, this is one running sum over the sources, no iteration.
 2. Blocks.  A document's block is the first hex digits of the md5 of its id, so a source, however
-   large, falls into at most 4,096 blocks.  A source's blocks stand in the order of another md5:
-   its permutation.  A target of f whole passes and a rest takes every block f times, then the
-   first blocks of the permutation until the rest is met; within the block where it ends,
-   documents in key order, to the nearest document.
-3. Tree.  How many block draws of each source each output shard gets is decided top-down: a node
-   splits the source quotas of its draws between its halves by a multivariate hypergeometric draw
-   (source after source, each an exact urn draw from hashed uniforms).  Leaves are the shards, of
-   equal numbers of draws.  A shard's draws are a stretch of the source's permuted order, so shards
-   are disjoint; within a shard rows are ordered by another hash.
-
-No step gathers a source in one task: documents meet by (source, block), and only tables of
-blocks and of sources go through windows by source or over all.  Null and empty texts have size 0
-and are taken with their block.  A null source is a source of its own; null ids share a key.
-Repeated rows are separate rows.  The same input gives the same mix on every run.
+   large, falls into 16 ** digits blocks.  A source's blocks stand in the order of another md5: its
+   permutation.  A target of f whole passes and a rest takes every block f times, then the first blocks
+   of the permutation until the rest is met: these draws are the source's block quota.
+3. Tree.  A node holds a quota of draws for each source, the root the whole ones.  Half of its draws go
+   left, taken from the sources by a multivariate hypergeometric draw: every draw of the node has a
+   hashed uniform, and the half with the smallest ones goes left.  Leaves are the output shards, of
+   equal numbers of draws.  A leaf's draws of a source are a stretch of the source's permuted order, so
+   shards are disjoint.  ``shards`` lists the leaves that hold a document's block; ``copies`` and
+   ``taken`` are counted from it.
+4. Within the block where a source's rest ends, documents in key order take part, to the nearest one.
+   Rows with one key and size, as repeated rows are, take part together.
+
+``sizes`` makes shards and blocks grow with the words mixed: at least 16 shards and 4,096 blocks a source,
+twice as many shards for each doubling beyond SHARD_WORDS a shard, and blocks of at most BLOCK_WORDS.
+No step gathers a source in one task: only tables of blocks, of draws and of sources go through windows,
+and of documents those of one block a source.  Texts go through no window.
+
+``mixed_rows`` shuffles locally: a shard's rows are dealt by hash over parts, and ``place`` is a row's
+hashed place in its shard; each part is sorted by it, so that reading a shard's parts one after another,
+or merged by ``place``, gives a random order.
+
+Null and empty texts have size 0 and are taken with their block.  A null source is a source of its own.  A
+null id has its text's digest as key.  Repeated rows are separate rows.  Ties in the permutation or among
+uniforms go by block or number.  An empty table gives an empty mix.  Very long texts only count more words.
+The same input gives the same mix on every run.
 """
 
 from __future__ import annotations
@@ -26,13 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import WORD_PATTERN, table
+from ._common import WORD_PATTERN, checkpointed, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
-LEVELS = 4  # 16 shards
-#: Hex digits of the key that name a block: 16 ** 3 blocks a source at most.
-BLOCK_DIGITS = 3
+#: Least levels of the tree (16 shards) and least hex digits of a key that name a block (4,096 a source).
+LEVELS, BLOCK_DIGITS = 4, 3
+#: Words from which on shards and blocks multiply.
+SHARD_WORDS, BLOCK_WORDS = 200_000_000, 2_000_000
 SOURCE = ["_s", "_n"]  # the source, and whether it is null
 
 
@@ -57,49 +69,65 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     return s.select(*SOURCE, "source_size", "target")
 
 
+def sizes(words: int) -> tuple[int, int]:
+    """(levels of the tree, hex digits of a block) for a corpus of so many words."""
+    levels, digits = LEVELS, BLOCK_DIGITS
+    while words > SHARD_WORDS << levels:
+        levels += 1
+    while words > BLOCK_WORDS * 16**digits:
+        digits += 1
+    return levels, digits
+
+
+def _uniform(*parts: Column) -> Column:
+    """48 bits of an md5, as its hex digits: they order as the number does."""
+    return F.substring(_md5(*parts), 1, 12)
+
+
 def split_quotas(quotas: DataFrame, levels: int, seed: str) -> DataFrame:
     """(_s, _n, _ends): for each source the running ends of its draws over the shards, from (_s, _n, _quota).
 
-    Each level is one grouping by node.  A node's row holds one number a source.
+    A level writes out the draws of each node, a row each, and ranks them by their uniforms; the half with
+    the smallest goes left, and how many of them are a source's is its quota there.
     """
     nodes = quotas.select(F.lit(0).alias("_node"), *SOURCE, "_quota")
-    urn = f"""
-      aggregate(if(x._quota > 0, sequence(1L, x._quota), array()), 0L, (hit, i) -> hit + if(
-        shiftrightunsigned(xxhash64('{seed}', LEVEL, _node, x._s, x._n, i), 11) / 9007199254740992D
-        * (acc.urn - i + 1) < acc.left - hit, 1L, 0L))"""
+    source = F.concat(F.col("_n").cast("int").cast("string"), F.col("_s"))
     for level in range(levels):
-        drawn = nodes.groupBy("_node").agg(F.array_sort(F.collect_list(F.struct("_n", "_s", "_quota"))).alias("_q"))
-        # One urn after another: how many of this source's draws fall left, then what remains of urn and left half.
-        fold = f"""
-          aggregate(_q, named_struct('urn', total, 'left', total div 2, 'out', cast(array() as array<bigint>)),
-            (acc, x) -> named_struct(
-              'urn', acc.urn - x._quota,
-              'left', acc.left - {urn.replace('LEVEL', str(level))},
-              'out', concat(acc.out, array(acc.left)))
-          )"""
-        drawn = drawn.withColumn("total", F.expr("aggregate(_q, 0L, (a, x) -> a + x._quota)"))
-        drawn = drawn.withColumn("_f", F.expr(fold)).withColumn("_left", F.expr("concat(_f.out, array(_f.left))"))
-        one = drawn.select("_node", "_left", F.posexplode("_q").alias("_i", "_x"))
-        one = one.select("_node", "_x._s", "_x._n", "_x._quota", (F.col("_left")[F.col("_i")] - F.col("_left")[F.col("_i") + 1]).alias("_gone"))
-        sides = one.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-        quota = F.when(F.col("_side") == 0, F.col("_gone")).otherwise(F.col("_quota") - F.col("_gone"))
+        draws = nodes.where("_quota > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_quota")))
+        draws = draws.withColumn("_u", _uniform(F.lit(seed), F.lit(str(level)), F.col("_node").cast("string"), source, F.col("_i").cast("string")))
+        order = Window.partitionBy("_node").orderBy("_u", "_n", "_s", "_i")
+        left = F.row_number().over(order) <= F.floor(F.count("*").over(Window.partitionBy("_node")) / 2)
+        gone = draws.withColumn("_left", left).groupBy("_node", *SOURCE).agg(F.count("*").alias("_all"), F.sum(F.col("_left").cast("long")).alias("_gone"))
+        sides = gone.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+        quota = F.when(F.col("_side") == 0, F.col("_gone")).otherwise(F.col("_all") - F.col("_gone"))
         nodes = sides.select((2 * F.col("_node") + F.col("_side")).alias("_node"), *SOURCE, quota.alias("_quota"))
-    ends = F.expr("transform(sequence(1, size(_l)), i -> aggregate(slice(_l, 1, i), 0L, (a, x) -> a + x._quota))")
-    return nodes.groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("_node", "_quota"))).alias("_l")).select(*SOURCE, ends.alias("_ends"))
+    shards = F.sequence(F.lit(0), F.lit(2**levels - 1))
+    ends = F.transform(shards, lambda k: F.aggregate(F.filter("_l", lambda x: x["_node"] <= k), F.lit(0).cast("long"), lambda a, x: a + x["_quota"]))
+    return nodes.groupBy(*SOURCE).agg(F.collect_list(F.struct("_node", "_quota")).alias("_l")).select(*SOURCE, ends.alias("_ends"))
 
 
-def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, levels: int = LEVELS, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``df`` with size, source_size, target, copies, taken, and shards: the shard of each copy.
+def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, levels: int | None = None, digits: int | None = None, seed: str = "mix", id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """``df`` with size, source_size, target, copies, taken, and shards: the tree's leaf for each copy.
 
-    Columns of ``df`` that have one of these names, or begin with _, are replaced.
+    ``levels`` and ``digits`` are those of ``sizes`` if not given.  Columns of ``df`` that have one of
+    these names, or begin with _, are replaced.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD_PATTERN)).cast("long"), F.lit(0))
-    source = F.col(source_column).cast("string")
-    key = _md5(F.lit(seed), F.col(id_column).cast("string"))
-    docs = df.withColumns({"size": size, "_s": F.coalesce(source, F.lit("")), "_n": source.isNull(), "_key": key})
-    docs = docs.drop("source_size", "target", "copies", "taken", "shards").withColumn("_block", F.substring("_key", 1, BLOCK_DIGITS))
-
-    blocks = docs.groupBy(*SOURCE, "_block").agg(F.sum("size").alias("_words"))
+    text, source = F.col(text_column).cast("string"), F.col(source_column).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0))
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    docs = df.drop(*(c for c in df.columns if c.startswith("_") and c not in (id_column, text_column, source_column)))
+    docs = docs.withColumns({"_s": F.coalesce(source, F.lit("")), "_n": source.isNull(), "_key": _md5(F.lit(seed), name)})
+
+    # Words by the least blocks, written: finer ones, if sizes asks for them, need another look.
+    least = digits or BLOCK_DIGITS
+    counted = lambda d: docs.withColumn("_block", F.substring("_key", 1, d)).groupBy(*SOURCE, "_block").agg(F.sum(size).alias("_words"))
+    blocks = checkpointed(counted(least), "blocks")
+    if levels is None or digits is None:
+        own = sizes(int(blocks.agg(F.sum("_words")).first()[0] or 0))
+        levels, digits = levels or own[0], digits or own[1]
+        if digits != least:
+            blocks = checkpointed(counted(digits), "blocks")
+    docs = docs.withColumn("_block", F.substring("_key", 1, digits))
     sources = targets(blocks.groupBy(*SOURCE).agg(F.sum("_words").alias("source_size")), weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0)
     sources = sources.withColumn("_passes", passes).withColumn("_rest", F.col("target") - F.col("_passes") * F.col("source_size"))
@@ -108,37 +136,56 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, le
     blocks = blocks.join(sources, SOURCE).withColumns({"_end": F.sum("_words").over(permuted), "_rank": F.row_number().over(permuted) - 1, "_blocks": F.count("*").over(Window.partitionBy(*SOURCE))})
     blocks = blocks.withColumn("_more", (F.col("_end") - F.col("_words") < F.col("_rest")).cast("long"))
     quotas = blocks.groupBy(*SOURCE).agg(F.sum(F.col("_passes") + F.col("_more")).cast("long").alias("_quota"))
-    blocks = blocks.join(split_quotas(quotas, levels, seed), SOURCE)
-
-    within = Window.partitionBy(*SOURCE, "_block").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    docs = docs.withColumn("_upto", F.sum("size").over(within)).join(blocks.drop("_words"), [*SOURCE, "_block"])
-    # The block where the rest ends gives documents while their middle is within it.
-    begin = F.col("_end") - F.sum("size").over(Window.partitionBy(*SOURCE, "_block"))
-    docs = docs.withColumn("_begin", begin)
-    extra = F.when(F.col("_more") == 0, False).when(F.col("_end") <= F.col("_rest"), True).otherwise(2 * (F.col("_begin") + F.col("_upto")) - F.col("size") <= 2 * F.col("_rest"))
-    docs = docs.withColumn("copies", (F.col("_passes") + extra.cast("long")).cast("long"))
-    shard = F.transform(F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<long>")), lambda p: F.size(F.filter("_ends", lambda e: e <= p * F.col("_blocks") + F.col("_rank"))))
-    docs = docs.withColumn("shards", shard).withColumn("taken", F.col("copies") * F.col("size"))
-    return docs.drop(*SOURCE, "_key", "_block", "_upto", "_end", "_begin", "_rank", "_blocks", "_passes", "_rest", "_more", "_ends")
+    blocks = blocks.join(split_quotas(quotas, levels, seed), SOURCE, "left")
+    leaf = lambda p: F.size(F.filter("_ends", lambda e: e <= p * F.col("_blocks") + F.col("_rank")))
+    turns = F.when(F.col("_passes") + F.col("_more") > 0, F.sequence(F.lit(0).cast("long"), F.col("_passes") + F.col("_more") - 1)).otherwise(F.array().cast("array<long>"))
+    blocks = checkpointed(blocks.select(*SOURCE, "_block", "source_size", "target", "_passes", "_rest", "_more", "_end", "_words", F.transform(turns, leaf).alias("_leaves")), "drawn")
+
+    # The one block of a source where its rest ends: documents whose middle is within it take part.
+    cut = blocks.where("_more = 1 and _end > _rest").select(*SOURCE, "_block", "_rest", (F.col("_end") - F.col("_words")).alias("_begin"))
+    within = Window.partitionBy(*SOURCE).orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = docs.join(cut, [*SOURCE, "_block"]).select(*SOURCE, "_block", "_rest", "_begin", "_key", size.alias("size")).groupBy(*SOURCE, "_block", "_rest", "_begin", "_key", "size").agg(F.count("*").alias("_rows"))
+    tied = tied.withColumn("_held", F.col("_rows") * F.col("size"))
+    tied = tied.withColumn("_upto", F.sum("_held").over(within)).where("2 * (_begin + _upto) - _held <= 2 * _rest")
+    ends = tied.groupBy(*SOURCE, "_block").agg(F.max(F.struct("_key", "size")).alias("_to"))
+
+    out = docs.withColumn("size", size).drop("source_size", "target", "copies", "taken", "shards").join(blocks.drop("_rest", "_words"), [*SOURCE, "_block"])
+    out = out.join(cut.select(*SOURCE, "_block", F.lit(True).alias("_cut")), [*SOURCE, "_block"], "left").join(ends, [*SOURCE, "_block"], "left")
+    drawn = F.col("_cut").isNull() | F.coalesce(F.struct("_key", "size") <= F.col("_to"), F.lit(False))
+    out = out.withColumn("shards", F.when(drawn, F.col("_leaves")).otherwise(F.slice("_leaves", F.lit(1), F.col("_passes").cast("int"))))
+    out = out.withColumn("copies", F.size("shards").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop(*SOURCE, "_key", "_block", "_end", "_passes", "_more", "_leaves", "_cut", "_to")
 
 
 def mixed_rows(mixed: DataFrame, seed: str = "mix", id_column: str = "doc_id") -> DataFrame:
-    """One row for each copy, with ``copy`` and ``shard``, dealt by shard and shuffled within it."""
-    rows = mixed.select(*(c for c in mixed.columns if c not in ("copy", "shard")), F.posexplode("shards").alias("copy", "shard"))
-    return rows.repartition("shard", F.pmod(F.xxhash64(F.lit(seed), id_column, "copy"), F.lit(4096))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "shard", id_column, "copy"))
+    """One row for each copy, with ``copy``, ``shard`` and ``place``, dealt by shard and sorted by ``place`` there."""
+    rows = mixed.select(*(c for c in mixed.columns if c not in ("copy", "shard", "place")), F.posexplode("shards").alias("copy", "shard"))
+    rows = rows.withColumn("place", F.xxhash64(F.lit(seed), "shard", id_column, "copy"))
+    return rows.repartition("shard", F.pmod("place", F.lit(4096))).sortWithinPartitions("shard", "place")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # Words taken are those of the copies that the tree's leaves hold.
-    drawn = F.size(F.filter("shards", lambda s: s < 2**LEVELS)).cast("long")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (drawn * F.col("size")).alias("taken"))
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))
+
 
+def _tree_sql(levels: int = LEVELS) -> str:
+    """The tree's levels, the running ends of each source's draws over the shards last."""
+    out = ["n0 AS (SELECT 0 AS node, s, n, CAST(sum(passes + CAST(more AS BIGINT)) AS BIGINT) AS quota FROM q GROUP BY s, n)"]
+    for k in range(levels):
+        out.append(f"""u{k} AS (SELECT node, s, n, row_number() OVER (PARTITION BY node ORDER BY substr(md5(concat_ws(':', 'mix', '{k}', CAST(node AS VARCHAR), concat(CAST(CAST(n AS INT) AS VARCHAR), s), CAST(i AS VARCHAR))), 1, 12), n, s, i)
+        <= count(*) OVER (PARTITION BY node) // 2 AS goes FROM (SELECT node, s, n, unnest(range(1, quota + 1)) AS i FROM n{k}))""")
+        out.append(f"g{k} AS (SELECT node, s, n, count(*) AS every, count(*) FILTER (goes) AS gone FROM u{k} GROUP BY ALL)")
+        out.append(f"n{k + 1} AS (SELECT 2 * node AS node, s, n, gone AS quota FROM g{k} UNION ALL SELECT 2 * node + 1, s, n, every - gone FROM g{k})")
+    out.append(f"ends AS (SELECT s, n, list(upto ORDER BY shard) AS ends FROM (SELECT a.s, a.n, shard, coalesce(sum(quota) FILTER (node <= shard), 0) AS upto FROM n{levels} a, range({2**levels}) r(shard) GROUP BY ALL) GROUP BY s, n)")
+    return ",\n".join(out)
 
+
+#: The same for corpora of up to SHARD_WORDS << LEVELS words, for which sizes gives the least shards and blocks.
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS n, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS k
+         md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), concat('null ', md5(coalesce(text, '')))))) AS k
   FROM documents),
 b AS (SELECT s, n, substr(k, 1, 3) AS block, sum(size) AS words FROM d GROUP BY ALL),
 w AS (SELECT s, n, CAST(sum(words) AS BIGINT) AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY n, s) - 1) % 3 + 1] AS w FROM b GROUP BY s, n),
@@ -148,14 +195,17 @@ g AS (SELECT *, fill <= (total - coalesce(sum(cap) OVER p, 0)) / (all_w - coales
 t AS (SELECT s, n, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
         ELSE CAST(total - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS DOUBLE) * w / nullif(sum(CASE WHEN is_full THEN 0 ELSE w END) OVER (), 0) END AS target FROM g),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 2) AS BIGINT) ELSE 0 END AS passes FROM t),
-q AS (SELECT b.*, source_size, target, passes, target - passes * source_size AS rest,
-        sum(words) OVER (PARTITION BY b.s, b.n ORDER BY md5(concat_ws(':', 'perm', b.s, block)), block) AS upto_block
-      FROM b JOIN r ON b.s = r.s AND b.n = r.n),
-x AS (SELECT d.*, q.source_size, q.target, q.passes, q.rest, q.upto_block, q.words,
-        sum(d.size) OVER (PARTITION BY d.s, d.n, q.block ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) AS upto
-      FROM d JOIN q ON d.s = q.s AND d.n = q.n AND substr(d.k, 1, 3) = q.block)
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE
-    WHEN upto_block - words >= rest THEN 0 WHEN upto_block <= rest THEN 1
-    WHEN 2 * (upto_block - words + upto) - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM x
-"""
+q AS (SELECT *, upto_block - words < rest AS more FROM (
+        SELECT b.*, source_size, target, passes, target - passes * source_size AS rest,
+          sum(words) OVER perm AS upto_block, row_number() OVER perm - 1 AS place, count(*) OVER (PARTITION BY b.s, b.n) AS blocks
+        FROM b JOIN r ON b.s = r.s AND b.n = r.n WINDOW perm AS (PARTITION BY b.s, b.n ORDER BY md5(concat_ws(':', 'perm', b.s, block)), block))),
+TREE,
+x AS (SELECT d.*, q.source_size, q.target, q.passes, q.rest, q.upto_block, q.words, q.more, q.place, q.blocks,
+        sum(d.size) OVER same AS mine, sum(d.size) OVER (PARTITION BY d.s, d.n, q.block ORDER BY d.k, d.size) AS upto
+      FROM d JOIN q ON d.s = q.s AND d.n = q.n AND substr(d.k, 1, 3) = q.block WINDOW same AS (PARTITION BY d.s, d.n, q.block, d.k, d.size)),
+c AS (SELECT *, passes + CASE WHEN NOT more THEN 0 WHEN upto_block <= rest THEN 1
+    WHEN 2 * (upto_block - words + upto) - mine <= 2 * rest THEN 1 ELSE 0 END AS copies FROM x)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+  coalesce(array_to_string(list_transform(range(copies), lambda p: len(list_filter(ends, lambda e: e <= p * blocks + place))), ','), '') AS shards
+FROM c LEFT JOIN ends ON c.s = ends.s AND c.n = ends.n
+""".replace("TREE", _tree_sql())
