@@ -65,6 +65,13 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         start = end
 
 
+def text_chunks(texts) -> Iterator[pa.Array]:
+    """The texts of a pandas Series, null as empty, about CHUNK_BYTES at a time; a longer one stands alone."""
+    column = pa.array([t if isinstance(t, str) else "" for t in texts], pa.string())
+    for part in chunks(pa.RecordBatch.from_arrays([column], names=["text"])):
+        yield part.column(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after another, and the n+1 offsets; null is empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -14,22 +14,35 @@ at or above a threshold:
   third if it is one sentence.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, lower-cased (ASCII and Latin-1), so
-case and added punctuation don't hide a copy.  Items of fewer than MIN_WORDS words are left out: any
-text may hold them.  Null texts and null items hold no words.  Repeated rows are judged alike, a
-repeated item id unites its rows.  Items are searched in shards of bounded size, each broadcast.
+case and added punctuation don't hide a copy.  Items of fewer than MIN_WORDS words are too short for
+weights and overlaps: a text holds one where all its words stand consecutively (score and overlaps 1).
+Null texts and null items hold no words.  Repeated rows are judged alike, a repeated item id unites its
+rows, a null one counts but is not listed.  Of equally good items the figures are the same.  An empty
+table gives an empty one, an empty benchmark finds nothing.  Very long texts are searched whole.  Item
+ids may be of any type with an order; other columns are not read.
+
+Items are searched in shards of SHARD_BYTES, each an index that is broadcast.  A benchmark of several is
+searched shard by shard: what is found goes to a written table, by the text's digest, before the next
+index is made, so one is held at a time.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from ._common import Words, documents, grams, map_arrow, table, utf8
+from ._common import Words, checkpointed, documents, grams, inside, map_arrow, small_batches, table, text_chunks, utf8
 
 UNIT, PASSAGE, STRIDE, MIN_WORDS = 48, 64, 32, 5
 THRESHOLD, OVERLAP, ASIDE = 0.45, 0.5, 0.3
@@ -83,6 +96,7 @@ class Index:
     parts: list[tuple[np.ndarray, int, np.ndarray, int]]  # by item: question grams and n, answer grams and n
     lengths: list[int]  # by item, in words
     items: list
+    short: dict[int, dict[bytes, list[int]]]  # by number of words, the words of short items, to their places
 
 
 def _grams_of(h: np.ndarray, n: int) -> tuple[np.ndarray, int]:
@@ -90,12 +104,38 @@ def _grams_of(h: np.ndarray, n: int) -> tuple[np.ndarray, int]:
     return np.unique(grams(h, n)), n
 
 
+def _spelling(words: Words, a: int, b: int) -> bytes:
+    """The words from a to b as bytes, lower-cased, one space between."""
+    return b" ".join(bytes(words.data[s:e]).lower() for s, e in zip(words.start[a:b], words.end[a:b], strict=True))
+
+
+def short_items(index: Index, words: Words) -> Iterator[tuple[int, int]]:
+    """(text, item's place) of every short item that stands in a text, word by word; hashes only look for places."""
+    for n, held in index.short.items():
+        wanted = np.array([h for h, _ in index_hashes(n, held)], np.uint64)
+        start, text = inside(words.bounds, n, 0)
+        for at in np.flatnonzero(np.isin(grams(words.hash, n)[start], wanted)):
+            for item in held.get(_spelling(words, start[at], start[at] + n), ()):
+                yield int(text[at]), item
+
+
+def index_hashes(n: int, held: dict[bytes, list[int]]) -> list[tuple[np.uint64, bytes]]:
+    """The hash of each spelling of n words."""
+    words = plain_words(pa.array([k.decode() for k in held]))
+    return list(zip(grams(words.hash, n)[words.bounds[:-1]], held, strict=True))
+
+
 def build(rows: list[tuple], threshold: float = THRESHOLD) -> Index | None:
     """Index of (item_id, text) rows."""
     items, units, unit_item, parts, lengths = [], [], [], [], []
+    short: dict[int, dict[bytes, list[int]]] = {}
     for item, text in rows:
-        whole = plain_words(pa.array([text or ""])).hash
+        words = plain_words(pa.array([text or ""]))
+        whole = words.hash
         if len(whole) < MIN_WORDS:
+            if len(whole):
+                short.setdefault(len(whole), {}).setdefault(_spelling(words, 0, len(whole)), []).append(len(items))
+                items.append(item), lengths.append(len(whole)), parts.append(None)
             continue
         sides = [plain_words(pa.array([s])).hash for s in split_item(text)]
         if not len(sides[1]):
@@ -109,6 +149,9 @@ def build(rows: list[tuple], threshold: float = THRESHOLD) -> Index | None:
         lengths.append(len(whole))
     if not items:
         return None
+    if not units:  # short items only
+        none = np.zeros(0, np.int64)
+        return Index(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, np.zeros(0), np.zeros(0), [], [], parts, lengths, items, short)
     counted = [np.unique(u, return_counts=True) for u in units]
     terms, df = np.unique(np.concatenate([t for t, _ in counted]), return_counts=True)
     idf = np.log(1 + (len(units) - df + 0.5) / (df + 0.5))
@@ -136,7 +179,7 @@ def build(rows: list[tuple], threshold: float = THRESHOLD) -> Index | None:
         u, w = [x for x, _ in e], [x for _, x in e]
         blocks = range(0, len(u), POSTINGS)
         postings.append(Postings(u, w, max(w), [u[min(b + POSTINGS, len(u)) - 1] for b in blocks], [max(w[b : b + POSTINGS]) for b in blocks]))
-    return Index(terms, *essential, postings, unit_item, parts, lengths, items)
+    return Index(terms, *essential, postings, unit_item, parts, lengths, items, short)
 
 
 def block_max_wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -228,6 +271,10 @@ def matches(index: Index, texts: pa.Array, threshold: float = THRESHOLD, overlap
     """For each text the items verified in it: {item's place: (score, question's overlap, answer's overlap)}."""
     words = plain_words(texts)
     out: list[dict[int, tuple[float, float, float]]] = [{} for _ in range(len(texts))]
+    for text, item in short_items(index, words):
+        out[text][item] = (1.0, 1.0, 1.0)
+    if not index.postings:
+        return out
     for text, a, b in zip(*hopeful_passages(index, words, threshold), strict=True):
         own = np.unique(words.hash[a:b])
         at = np.minimum(np.searchsorted(index.terms, own), len(index.terms) - 1)
@@ -242,17 +289,41 @@ def matches(index: Index, texts: pa.Array, threshold: float = THRESHOLD, overlap
     return out
 
 
-def shards(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> list[Index]:
-    """Indexes of all items, each over at most about SHARD_BYTES of text."""
+def shards(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text") -> Iterator[Index]:
+    """Indexes of all items, each over at most about SHARD_BYTES of text, made one at a time."""
     b = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     size = int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-size // SHARD_BYTES))
-    out = []
     for k in range(n):
         rows = sorted(map(tuple, b.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()), key=repr)
         if index := build(rows):
-            out.append(index)
-    return out
+            yield index
+
+
+FIGURES = ["score", "question_overlap", "answer_overlap"]
+
+
+def _found_in(texts: DataFrame, index: Index, item: str, threshold: float, overlap: float) -> tuple[DataFrame, Broadcast]:
+    """``texts`` (key, text) as (key, found): array of (item, figures) of the items of one index."""
+    held = texts.sparkSession.sparkContext.broadcast(index)
+    kind = pa.list_(pa.struct([("item", _arrow_type(item)), *((f, pa.float64()) for f in FIGURES)]))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        best: list[dict] = []
+        for own in matches(held.value, batch.column(1), threshold, overlap):
+            best.append({})
+            for place, figures in own.items():
+                name = held.value.items[place]
+                best[-1][name] = max(best[-1].get(name, figures), figures)
+        rows = [[{"item": name, **dict(zip(FIGURES, figures, strict=True))} for name, figures in f.items()] for f in best]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["key", "found"])
+
+    key = texts.schema["key"].dataType.simpleString()
+    return map_arrow(texts, run, f"key {key}, found array<struct<item:{item},{','.join(f + ':double' for f in FIGURES)}>>"), held
+
+
+def _arrow_type(item: str) -> pa.DataType:
+    return to_arrow_type(StructType.fromDDL(f"x {item}")[0].dataType)
 
 
 def search(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -260,37 +331,46 @@ def search(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, ov
 
     ``items``: ids of the verified items, ascending; the figures are those of the best one, else null.
     """
-    spark, docs = df.sparkSession, documents(df, id_column, text_column)
-    held = [spark.sparkContext.broadcast(i) for i in shards(benchmark)]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: list[dict] = [{} for _ in range(batch.num_rows)]
-        for index in held:
-            for own, more in zip(found, matches(index.value, batch.column(1), threshold, overlap), strict=True):
-                for item, figures in more.items():
-                    key = index.value.items[item]
-                    own[key] = max(own.get(key, figures), figures)
-        best = [max(f.values(), default=(None, None, None)) for f in found]
-        items = pa.array([sorted(k for k in f if k is not None) for f in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(f) for f in found]), items, *(pa.array([x[k] for x in best], pa.float64()) for k in range(3))], names=["doc_id", "contaminated", "items", "score", "question_overlap", "answer_overlap"])
-
-    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, contaminated boolean, items array<bigint>, score double, question_overlap double, answer_overlap double")
+    docs, item = documents(df, id_column, text_column), benchmark.schema["item_id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<item:{item},{','.join(f + ':double' for f in FIGURES)}>>")
+    indexes = shards(benchmark)
+    first, second = next(indexes, None), next(indexes, None)
+    if first is None:
+        found = docs.withColumn("found", none)
+    elif second is None:
+        found = _found_in(docs.select(F.col("doc_id").alias("key"), "text"), first, item, threshold, overlap)[0].withColumnRenamed("key", "doc_id")
+    else:
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        parts = []
+        for index in itertools.chain([first, second], indexes):
+            first = second = None
+            part, held = _found_in(docs.select(digest.alias("key"), "text"), index, item, threshold, overlap)
+            parts.append(checkpointed(part.where("size(found) > 0").dropDuplicates(["key"]), "found"))
+            held.destroy()
+        every = functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+        found = docs.withColumn("key", digest).join(every, "key", "left").withColumn("found", F.coalesce("found", none))
+    # One item may lie in several shards, as its rows may.
+    best = F.array_max(F.transform("found", lambda x: F.struct(*(x[f] for f in FIGURES))))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform("found", lambda x: x["item"]), lambda x: x.isNotNull())))
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), items.alias("items"), *(best[f].alias(f) for f in FIGURES))
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``df`` whose text holds no test item."""
-    held = [df.sparkSession.sparkContext.broadcast(i) for i in shards(benchmark)]
+    for index in shards(benchmark):
+        df = _without(df, index)
+    return df
+
+
+def _without(df: DataFrame, index: Index) -> DataFrame:
+    held = df.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("boolean")
     def clean(texts):
-        out = []
-        for i in range(0, len(texts), 64):
-            part = pa.array([t if isinstance(t, str) else "" for t in texts[i : i + 64]], pa.string())
-            found = [matches(index.value, part) for index in held]
-            out += [not any(f[k] for f in found) for k in range(len(part))]
-        return texts.__class__(out, dtype=bool)
-
-    return df.where(clean("text")) if held else df
+        return texts.__class__([not found for part in text_chunks(texts) for found in matches(held.value, part)], dtype=bool)
+
+    small_batches(df.sparkSession)
+    return df.where(clean("text"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

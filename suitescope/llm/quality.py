@@ -8,9 +8,12 @@ mean, weighted by the lines' lengths.
 
 Lines end at line feeds; a null or empty text is one empty line and is scored like any other.
 The field is fitted on the driver to a bounded sample of labelled rows (SAMPLE documents, a
-parameter), each line taking its document's label; only the lines' features come to the driver.
-Labels, language, source and id are never inputs of a score.  Repeated rows score alike.
-Without any labelled row the score is 0.5 for all.
+parameter), each line taking its document's label, all lines of a document in their order; only the
+lines' features come to the driver.  Of labelled ids that have a document those with the least hash are
+the sample (ties by id); an id with several rows gives one of them, by a hash of the text.  The same
+tables give the same field.  Labels, language, source and id are never inputs of a score.  Repeated rows
+score alike.  Without any labelled row the score is 0.5 for all; a score of 0.5 is good.  An empty table
+gives an empty one.  Very long texts are scored whole.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, documents, map_arrow, table, utf8
+from ._common import Words, documents, map_arrow, small_batches, table, text_chunks, utf8
 
 #: Labelled documents that the field is fitted on.
 SAMPLE = 2_000
-#: Lines of one sampled document that are sent to be fitted on, spread evenly.
-SAMPLE_LINES = 400
 _KIND = np.zeros(256, np.int64)  # 0: other control, 1: lower, 2: upper, 3: digit, 4: space, 5: plain stops, 6: symbol, 7: beyond ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 7
 _KIND[[9, 11, 12, 13, 32]] = 4
@@ -178,24 +179,18 @@ def fit(x: np.ndarray, bounds: np.ndarray, label: np.ndarray, steps: int = 150,
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | None:
     """Field fitted to at most ``sample`` labelled documents, picked by a hash of their id."""
-    chosen = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .where("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    schema = "doc_id string, label int, lines binary"
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    held = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels without a document don't use up the sample
+    chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, _, bounds = line_features(*utf8(batch.column(1)))
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            at = np.arange(a, b) if b - a <= SAMPLE_LINES else a + np.arange(SAMPLE_LINES) * (b - a) // SAMPLE_LINES
-            out.append(x[at].astype(np.float32).tobytes())
+        out = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "label", "lines"])
 
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").alias("label"))
-    rows = sorted(map(tuple, map_arrow(joined, lines, schema).limit(2 * sample).collect()))
+    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
+    one = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("quality").alias("label")).select("doc_id", "t.text", "label")
+    rows = sorted(map(tuple, map_arrow(one, lines, "doc_id string, label int, lines binary").collect()))
     if not rows:
         return None
     parts = [np.frombuffer(r[2], np.float32).reshape(-1, 3 * N_OWN + 2) for r in rows]
@@ -233,9 +228,10 @@ def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def good(texts):
-        p = [doc_scores(pa.array([t if isinstance(t, str) else "" for t in texts[i : i + 64]], pa.string()), field)[0] for i in range(0, len(texts), 64)]
+        p = [doc_scores(part, field)[0] for part in text_chunks(texts)]
         return texts.__class__(np.concatenate(p) if p else np.zeros(0))
 
+    small_batches(df.sparkSession)
     return df.where(good("text") >= 0.5)
 
 

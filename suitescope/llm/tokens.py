@@ -9,8 +9,11 @@ and hands only the rest, each distinct string once a batch, to the library's mer
 
 The split into pre-tokens is done here, with the pattern of the tokenizer's ByteLevel step, its
 letter, digit and space classes spelled out for the characters of PLAIN.  Classes depend on the
-Unicode version, so texts with other characters go to the library whole.  Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows
-are counted each.  Ids pass through as they are, nulls included.
+Unicode version, so texts with other characters are split by the library's own ByteLevel step; their
+pre-tokens then take the same way, whole tokens at once and merges for the rest.  Null text counts as
+empty: 0 bytes, 0 tokens.  Repeated rows are counted each.  Very long texts are counted whole, one text
+at a time.  An empty table gives an empty one.  Ids pass through as they are, nulls included; other
+columns are not read.  Ties between merges are the library's.
 """
 
 from __future__ import annotations
@@ -95,31 +98,30 @@ class Counter:
         self.stand_ins = str.maketrans({b: c for c, b in byte_alphabet().items()})
         self.extra: dict[str, int] = {}
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if PLAIN.fullmatch(text):
+            return self.find(text)
+        found = self.tok.pre_tokenizer.pre_tokenize_str(text)
+        return [text[a:b] for _, (a, b) in found]
+
     def count(self, texts: list[str]) -> list[int]:
-        plain = [PLAIN.fullmatch(t) is not None for t in texts]
-        counts, rests, fresh = [0] * len(texts), {}, set()
+        counts, rests, fresh = [0] * len(texts), [], set()
         for i, text in enumerate(texts):
-            if not plain[i]:
-                continue
             pieces = self.special.split(text)
             counts[i], rest = len(pieces) - 1, []
             for piece in pieces:
-                found = self.find(piece)
+                found = self.split(piece)
                 counts[i] += len(found)
                 rest += [p for p in found if p not in self.whole]
-            rests[i] = rest
+            rests.append(rest)
             fresh.update(rest)
         if len(self.extra) > REMEMBERED:
             self.extra.clear()
         merge = self.tok.model.tokenize
         for p in fresh.difference(self.extra):
             self.extra[p] = len(merge(p.encode().decode("latin-1").translate(self.stand_ins))) - 1
-        for i, rest in rests.items():
-            counts[i] += sum(map(self.extra.__getitem__, rest))
-        other = [i for i, p in enumerate(plain) if not p]
-        for i in other:  # one at a time: an encoding holds far more than its ids
-            counts[i] = len(self.tok.encode(texts[i], add_special_tokens=False).ids)
-        return counts
+        return [n + sum(map(self.extra.__getitem__, rest)) for n, rest in zip(counts, rests, strict=True)]
 
 
 _counters: dict[str, Counter] = {}
