@@ -45,6 +45,8 @@ SHARE, CAP = 1.5, 2
 LEVELS, BLOCK_DIGITS = 4, 3
 #: Words from which on shards and blocks multiply.
 SHARD_WORDS, BLOCK_WORDS = 200_000_000, 2_000_000
+#: Up to so many blocks, about 150 bytes each, are sent to all executors; more meet the documents by a shuffle.
+BROADCAST_BLOCKS = 200_000
 SOURCE = ["_s", "_n"]  # the source, and whether it is null
 
 
@@ -139,22 +141,24 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, le
     blocks = blocks.join(split_quotas(quotas, levels, seed), SOURCE, "left")
     leaf = lambda p: F.size(F.filter("_ends", lambda e: e <= p * F.col("_blocks") + F.col("_rank")))
     turns = F.when(F.col("_passes") + F.col("_more") > 0, F.sequence(F.lit(0).cast("long"), F.col("_passes") + F.col("_more") - 1)).otherwise(F.array().cast("array<long>"))
-    blocks = checkpointed(blocks.select(*SOURCE, "_block", "source_size", "target", "_passes", "_rest", "_more", "_end", "_words", F.transform(turns, leaf).alias("_leaves")), "drawn")
+    cut = (F.col("_more") == 1) & (F.col("_end") > F.col("_rest"))
+    blocks = checkpointed(blocks.select(*SOURCE, "_block", "source_size", "target", "_passes", "_rest", (F.col("_end") - F.col("_words")).alias("_begin"), F.transform(turns, leaf).alias("_leaves"), cut.alias("_cut")), "drawn")
 
     # The one block of a source where its rest ends: documents whose middle is within it take part.
-    cut = blocks.where("_more = 1 and _end > _rest").select(*SOURCE, "_block", "_rest", (F.col("_end") - F.col("_words")).alias("_begin"))
     within = Window.partitionBy(*SOURCE).orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tied = docs.join(cut, [*SOURCE, "_block"]).select(*SOURCE, "_block", "_rest", "_begin", "_key", size.alias("size")).groupBy(*SOURCE, "_block", "_rest", "_begin", "_key", "size").agg(F.count("*").alias("_rows"))
+    one = blocks.where("_cut").select(*SOURCE, "_block", "_rest", "_begin")
+    tied = docs.join(one, [*SOURCE, "_block"]).select(*SOURCE, "_block", "_rest", "_begin", "_key", size.alias("size")).groupBy(*SOURCE, "_block", "_rest", "_begin", "_key", "size").agg(F.count("*").alias("_rows"))
     tied = tied.withColumn("_held", F.col("_rows") * F.col("size"))
     tied = tied.withColumn("_upto", F.sum("_held").over(within)).where("2 * (_begin + _upto) - _held <= 2 * _rest")
-    ends = tied.groupBy(*SOURCE, "_block").agg(F.max(F.struct("_key", "size")).alias("_to"))
+    ends = checkpointed(tied.groupBy(*SOURCE, "_block").agg(F.max(F.struct("_key", "size")).alias("_to")), "ends")
 
-    out = docs.withColumn("size", size).drop("source_size", "target", "copies", "taken", "shards").join(blocks.drop("_rest", "_words"), [*SOURCE, "_block"])
-    out = out.join(cut.select(*SOURCE, "_block", F.lit(True).alias("_cut")), [*SOURCE, "_block"], "left").join(ends, [*SOURCE, "_block"], "left")
-    drawn = F.col("_cut").isNull() | F.coalesce(F.struct("_key", "size") <= F.col("_to"), F.lit(False))
+    held = blocks.drop("_rest", "_begin").join(ends, [*SOURCE, "_block"], "left")
+    held = F.broadcast(held) if blocks.count() <= BROADCAST_BLOCKS else held
+    out = docs.withColumn("size", size).drop("source_size", "target", "copies", "taken", "shards").join(held, [*SOURCE, "_block"])
+    drawn = ~F.col("_cut") | F.coalesce(F.struct("_key", "size") <= F.col("_to"), F.lit(False))
     out = out.withColumn("shards", F.when(drawn, F.col("_leaves")).otherwise(F.slice("_leaves", F.lit(1), F.col("_passes").cast("int"))))
     out = out.withColumn("copies", F.size("shards").cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop(*SOURCE, "_key", "_block", "_end", "_passes", "_more", "_leaves", "_cut", "_to")
+    return out.drop(*SOURCE, "_key", "_block", "_passes", "_leaves", "_cut", "_to")
 
 
 def mixed_rows(mixed: DataFrame, seed: str = "mix", id_column: str = "doc_id") -> DataFrame:

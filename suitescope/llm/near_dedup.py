@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, checkpointed, chunks, documents, grams, map_arrow, mix, small_batches, table, utf8
+from ._common import Words, checkpointed, chunks, documents, forget, grams, map_arrow, mix, small_batches, table, utf8
 from .components import components
 
 SHINGLE = 5
@@ -344,14 +344,18 @@ def near_duplicates(df: DataFrame, percent: int = 85, n: int = SHINGLE, id_colum
     crowd = checkpointed(banded.join(pivots, "key").select("key", "node", "pivot"), "crowd")
     star = crowd.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     bodies = checkpointed(_bodies(docs, reps, crowd.select("node").distinct()), "bodies")
-    links = checkpointed(_linked(checkpointed(_hopeful_pairs(star, reps, percent), "pairs"), bodies, percent, n), "links")
+    pairs = checkpointed(_hopeful_pairs(star, reps, percent), "pairs")
+    links = checkpointed(_linked(pairs, bodies, percent, n), "links")
     comps = checkpointed(components(links), "comps")
     mixed = checkpointed(_mixed(crowd, comps), "mixed")
     small = checkpointed(_across(mixed.where(f"size <= {SMALL}"), reps, percent), "across")
     large = _within_groups(mixed.where(f"size > {SMALL}"), crowd, bodies, reps, percent, n)
     more = checkpointed(_linked(small, bodies, percent, n).unionByName(large), "links")
     if not more.isEmpty():
-        comps = checkpointed(components(links.unionByName(more)), "comps")
+        joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = checkpointed(components(joined.unionByName(more)), "comps")
+    for done in (crowd, bodies, pairs, links, mixed, small, more):
+        forget(done)
     comps = comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct())  # with the least nodes themselves
     least = comps.join(reps.select("node", "label"), "node").groupBy("component").agg(F.min("label").alias("least"))
     of_class = reps.join(comps, "node", "left").join(least, "component", "left").select(*name, F.coalesce("least", "label").alias("component_id"))
