@@ -146,14 +146,15 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, le
 
     # The one block of a source where its rest ends: documents whose middle is within it take part.
     within = Window.partitionBy(*SOURCE).orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one = blocks.where("_cut").select(*SOURCE, "_block", "_rest", "_begin")
+    few = blocks.count() <= BROADCAST_BLOCKS
+    sent = F.broadcast if few else (lambda d: d)
+    one = sent(blocks.where("_cut").select(*SOURCE, "_block", "_rest", "_begin"))
     tied = docs.join(one, [*SOURCE, "_block"]).select(*SOURCE, "_block", "_rest", "_begin", "_key", size.alias("size")).groupBy(*SOURCE, "_block", "_rest", "_begin", "_key", "size").agg(F.count("*").alias("_rows"))
     tied = tied.withColumn("_held", F.col("_rows") * F.col("size"))
     tied = tied.withColumn("_upto", F.sum("_held").over(within)).where("2 * (_begin + _upto) - _held <= 2 * _rest")
     ends = checkpointed(tied.groupBy(*SOURCE, "_block").agg(F.max(F.struct("_key", "size")).alias("_to")), "ends")
 
-    held = blocks.drop("_rest", "_begin").join(ends, [*SOURCE, "_block"], "left")
-    held = F.broadcast(held) if blocks.count() <= BROADCAST_BLOCKS else held
+    held = sent(blocks.drop("_rest", "_begin").join(sent(ends), [*SOURCE, "_block"], "left"))
     out = docs.withColumn("size", size).drop("source_size", "target", "copies", "taken", "shards").join(held, [*SOURCE, "_block"])
     drawn = ~F.col("_cut") | F.coalesce(F.struct("_key", "size") <= F.col("_to"), F.lit(False))
     out = out.withColumn("shards", F.when(drawn, F.col("_leaves")).otherwise(F.slice("_leaves", F.lit(1), F.col("_passes").cast("int"))))
