@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators import extraction
 from ..schemas import TEST
@@ -65,3 +66,9 @@ def summary(read_files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, files, tests, unroutable, failures)."""
     count = lambda s: F.count_if(F.col("status") == s)
     return read_files.where("status <> 'missing'").groupBy(*keys).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("tests").cast("long")), F.lit(0)).alias("tests"), count("unroutable").alias("unroutable"), count("failed").alias("failures"))
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """Observations with ``id``: by snapshot, file, name, line, and a number among those that agree in all of these."""
+    seen = F.row_number().over(Window.partitionBy("snapshot_id", "file_path", "identifier", "start_line").orderBy("end_line"))
+    return found.withColumn("_n", seen).withColumn("id", F.xxhash64("snapshot_id", "file_path", "identifier", "start_line", "_n")).drop("_n")

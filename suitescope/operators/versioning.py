@@ -37,3 +37,9 @@ def representatives(touches: DataFrame) -> DataFrame:
     """
     dated = touches.withColumn("major", major_of(constraint_of(F.col("manifest")))).where("major is not null")
     return last_per(dated, ["repo", "major"], F.struct("sha", "author_ts"), "seq")
+
+
+def resolution(touches: DataFrame) -> DataFrame:
+    """(repo, resolved, skipped): how many commits name a major and how many name none, from (repo, manifest)."""
+    major = major_of(constraint_of(F.col("manifest")))
+    return touches.groupBy("repo").agg(F.count_if(major.isNotNull()).alias("resolved"), F.count_if(major.isNull()).alias("skipped"))

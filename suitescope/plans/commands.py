@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..extract import frames
 from ..operators import attribution, discovery, extraction, quality, samples, versioning
@@ -59,7 +58,10 @@ def _repository(store: Store, full_name: str):
 def snapshot(store: Store, full_name: str) -> DataFrame:
     """The last commit of each major that touched the manifest; majors gone from history are kept."""
     repo = _repository(store, full_name)
-    touches = git.read_log(store.spark, [(full_name, repo.clone_path)])
+    touches = git.read_log(store.spark, [(full_name, repo.clone_path)]).cache()
+    skipped = versioning.resolution(touches).agg(F.sum("skipped")).first()[0]
+    if skipped:
+        print(f"{full_name}: {skipped} manifest commit(s) name no major and were skipped.", file=sys.stderr)
     found = versioning.representatives(touches).select(
         F.xxhash64(F.lit(repo.id), "major").alias("id"), F.lit(repo.id).alias("repository_id"), F.col("sha").alias("commit_sha"),
         F.col("major").alias("framework_version"), F.lit("version_boundary").alias("kind"), F.col("author_ts").alias("commit_date"),
@@ -91,8 +93,7 @@ def extract(store: Store, full_name: str, head: bool = False) -> DataFrame:
     ids = store.spark.createDataFrame([(s.id, s.commit_sha) for s in snaps], "snapshot_id long, commit_sha string")
     read = frames.read(inside.join(ids, "commit_sha").withColumn("repository_id", F.lit(repo.id))).cache()
     keys = ["repository_id", "snapshot_id"]
-    seen = F.row_number().over(Window.partitionBy("snapshot_id", "file_path", "identifier", "start_line").orderBy("end_line"))
-    found = frames.observations(read, keys).withColumn("_n", seen).withColumn("id", F.xxhash64("snapshot_id", "file_path", "identifier", "start_line", "_n"))
+    found = frames.identified(frames.observations(read, keys))
     names = [s.id for s in snaps]
     store.replace("test_observations", found, "snapshot_id", names)
     store.replace("parse_failures", frames.failures(read, [*keys, "commit_sha"]), "snapshot_id", names)

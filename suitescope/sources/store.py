@@ -1,6 +1,9 @@
 """The stored tables as Parquet: append, upsert by key, replace a snapshot's rows, rebuild columns.
 
-Writes go to a new folder that takes the old one's place, so a failed job leaves the old table.
+A table is a folder of versions and a file, CURRENT, that names the one to read.  A write makes a new
+version and then puts a new CURRENT in the old one's place by one atomic rename, so that a job or driver
+that ends at any moment leaves the old table or the new one.  Versions that CURRENT doesn't name go when
+the next write is done.
 """
 
 from __future__ import annotations
@@ -32,26 +35,45 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def read(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        fs, p = self._at(path)
+    def _current(self, name: str) -> str | None:
+        fs, p = self._at(f"{self.root}/{name}/CURRENT")
         if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def read(self, name: str) -> DataFrame:
+        version = self._current(name)
+        if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame) -> None:
         """Put ``df`` in the table's place; it may read the table itself."""
-        schema = TABLES[name]
-        df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
-        new, old = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/{name}"
-        df.write.parquet(new)
-        fs, target = self._at(old)
-        _, source = self._at(new)
-        _, aside = self._at(f"{new}-old")
-        if fs.exists(target):
-            fs.rename(target, aside)
-        fs.rename(source, target)
-        fs.delete(aside, True)
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name]))
+        version = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        self._point(name, version)
+        fs, folder = self._at(f"{self.root}/{name}")
+        for entry in fs.listStatus(folder):
+            if entry.getPath().getName() not in (version, "CURRENT"):
+                fs.delete(entry.getPath(), True)
+
+    def _point(self, name: str, version: str) -> None:
+        """Make ``version`` the current one."""
+        fs, draft = self._at(f"{self.root}/{name}/.next-{version}")
+        out = fs.create(draft, True)
+        out.write(version.encode())
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(draft, self._at(f"{self.root}/{name}/CURRENT")[1], options)
 
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, self.read(name).unionByName(filled(df, name)))
@@ -59,6 +81,10 @@ class Store:
     def upsert(self, name: str, df: DataFrame, keys: list[str]) -> None:
         self.write(name, merged(self.read(name), filled(df, name), keys))
 
+    def replace_keys(self, name: str, df: DataFrame, keys: DataFrame) -> None:
+        """Rows whose values in the columns of ``keys`` are there give way to ``df``, even if that is empty."""
+        self.write(name, self.read(name).join(keys.distinct(), keys.columns, "left_anti").select(*TABLES[name].names).unionByName(filled(df, name)))
+
     def replace(self, name: str, df: DataFrame, column: str, values: list) -> None:
         """Rows whose ``column`` is one of ``values`` give way to ``df``, even if that is empty."""
         kept = self.read(name).where(~F.col(column).isin(*values) | F.col(column).isNull()) if values else self.read(name)

@@ -1,8 +1,9 @@
-"""New snapshots as a stream: files that arrive are read once and their snapshot's rows replaced.
+"""New snapshots as a stream: files that arrive are read once and their own rows replaced.
 
 The batch engine has no stream of its own; this lets a folder of exported trees (repository_id,
 snapshot_id, path, content as Parquet) feed the same tables.  Each micro-batch is idempotent: it
-replaces the rows of the snapshots it holds, so a repeated batch changes nothing.
+replaces the rows of the files (snapshot and path) it holds, so a repeated batch changes nothing and a
+snapshot may arrive over several batches.  A file that comes twice in a batch is read once.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ def follow(spark: SparkSession, folder: str, store: Store, checkpoint: str, once
     keys = ["repository_id", "snapshot_id"]
 
     def take(batch: DataFrame, _: int) -> None:
-        read = frames.read(batch).cache()
-        names = [r[0] for r in read.select("snapshot_id").distinct().collect()]  # snapshots of one micro-batch
-        found = frames.observations(read, keys).withColumn("id", F.xxhash64("snapshot_id", "file_path", "identifier", "start_line"))
-        store.replace("test_observations", found, "snapshot_id", names)
-        store.replace("parse_failures", frames.failures(read, [*keys, "commit_sha"]), "snapshot_id", names)
+        read = frames.read(batch.dropDuplicates(["snapshot_id", "path"])).cache()
+        files = read.select("snapshot_id", F.col("path").alias("file_path"))
+        store.replace_keys("test_observations", frames.identified(frames.observations(read, keys)), files)
+        store.replace_keys("parse_failures", frames.failures(read, [*keys, "commit_sha"]), files)
         read.unpersist()
 
     writer = spark.readStream.schema(SCHEMA).parquet(folder).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

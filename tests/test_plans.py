@@ -8,7 +8,7 @@ from suitescope.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 #: These read a few inline rows through Python on purpose.
-PYTHON = {"suite_directories", "extract_fixture_tests", "extract_status"}
+PYTHON = {"suite_directories", "extract_fixture_tests", "extract_status", "extract_summary"}
 
 
 def plan_of(df):

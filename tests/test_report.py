@@ -79,3 +79,34 @@ def test_stream_replaces_snapshots(spark, tmp_path):
         files.write.mode("append").parquet(folder)
         follow(spark, folder, store, str(tmp_path / "state")).awaitTermination()
         assert (store.read("test_observations").count(), store.read("parse_failures").count()) == (1, 1)
+
+
+def test_stream_over_several_batches(spark, tmp_path):
+    """A snapshot's files may come one after another; each replaces only its own rows, and ids stay apart."""
+    store, folder = Store(spark, str(tmp_path / "s")), str(tmp_path / "in")
+    one = "<?php\nit('x', function () { expect(1)->toBe(1); }); it('x', function () { expect(2)->toBe(2); });\n"
+    for path, source in (("tests/A.php", one), ("tests/B.php", one), ("tests/A.php", "<?php\nit('y', function () {});\n")):
+        spark.createDataFrame([(1, 7, "c", path, source)], "repository_id long, snapshot_id long, commit_sha string, path string, content string").write.mode("append").parquet(folder)
+        follow(spark, folder, store, str(tmp_path / "state")).awaitTermination()
+    rows = store.read("test_observations").collect()
+    assert sorted((r.file_path, r.identifier) for r in rows) == [("tests/A.php", "y"), ("tests/B.php", "x"), ("tests/B.php", "x")]
+    assert len({r.id for r in rows}) == 3
+
+
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, identifier string")
+    store.append("test_observations", rows((1, "a")))
+    whole = Store._point
+
+    def crash(*_):
+        raise RuntimeError("the driver ends here")
+
+    monkeypatch.setattr(Store, "_point", crash)
+    with pytest.raises(RuntimeError):
+        store.append("test_observations", rows((2, "b")))
+    assert [r.id for r in store.read("test_observations").collect()] == [1]
+    monkeypatch.setattr(Store, "_point", whole)
+    store.append("test_observations", rows((3, "c")))
+    assert sorted(r.id for r in store.read("test_observations").collect()) == [1, 3]
+    assert len([p for p in (tmp_path / "s" / "test_observations").iterdir() if p.name.startswith("v-")]) == 1  # the lost version is gone
