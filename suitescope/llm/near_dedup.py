@@ -204,10 +204,10 @@ def _linked(pairs: DataFrame, bodies: DataFrame, percent: int, n: int) -> DataFr
 
 
 def _mixed(crowd: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, node, comp, size) of the rows of buckets that hold several components, pivots apart: they were compared."""
+    """(key, node, pivot, comp, size) of the rows of buckets that hold several components, pivots apart: they were compared."""
     rows = crowd.join(comps, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    return rows.where("node <> pivot").join(mixed, "key").select("key", "node", "comp", "size")
+    return rows.where("node <> pivot").join(mixed, "key").select("key", "node", "pivot", "comp", "size")
 
 
 def _across(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -278,15 +278,15 @@ def spanning(x: np.ndarray, y: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _within_groups(rows: DataFrame, crowd: DataFrame, bodies: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+def _within_groups(rows: DataFrame, bodies: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
     """Links (a, b) that join components within large buckets.
 
-    Large buckets that overlap are one group, so that a pair is looked at once, not once a band.  A
+    ``rows``: all members of such buckets but their pivots, which name the buckets' groups.  Large
+    buckets that overlap are one group, so that a pair is looked at once, not once a band.  A
     group is cut to blocks by a hash, and every two blocks meet in one task, which gives only a spanning
     part of the links it finds: fewer than it has members.
     """
-    large = rows.select("key").distinct()
-    together = components(crowd.join(large, "key").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    together = components(rows.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     members = rows.select("node", "comp").distinct().join(together.withColumnRenamed("component", "grp"), "node")
     blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
     members = members.join(blocks, "grp").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
@@ -349,7 +349,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, n: int = SHINGLE, id_colum
     comps = checkpointed(components(links), "comps")
     mixed = checkpointed(_mixed(crowd, comps), "mixed")
     small = checkpointed(_across(mixed.where(f"size <= {SMALL}"), reps, percent), "across")
-    large = _within_groups(mixed.where(f"size > {SMALL}"), crowd, bodies, reps, percent, n)
+    large = _within_groups(mixed.where(f"size > {SMALL}"), bodies, reps, percent, n)
     more = checkpointed(_linked(small, bodies, percent, n).unionByName(large), "links")
     if not more.isEmpty():
         joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
