@@ -20,9 +20,10 @@ def read(files: DataFrame) -> DataFrame:
     """``files`` (path, content, ...) with front_end, status, problem and tests.
 
     status: parsed, failed (not valid), unroutable (no front end, or no class that qualifies), missing
-    (no content).  Files that no front end takes never reach Python's parser.
+    (no content).  Files that no front end takes pass without their content, so sources are read once.
     """
-    routed = files.withColumn("front_end", extraction.front_end(F.col("content")))
+    routed = files.withColumn("front_end", extraction.front_end(F.col("content"))).withColumn("_some", F.col("content").isNotNull())
+    routed = routed.withColumn("content", F.when(F.col("front_end").isNotNull(), F.col("content")))
     keep = [f for f in routed.schema if f.name != "content"]
     schema = T.StructType([*keep, T.StructField("parsed", T.BooleanType()), T.StructField("problem", T.StringType()), T.StructField("tests", FOUND)])
 
@@ -37,11 +38,9 @@ def read(files: DataFrame) -> DataFrame:
             f["tests"] = [t for t, _ in found]
             yield f[schema.names]
 
-    taken = routed.where("front_end is not null").mapInPandas(run, schema)
-    status = F.when(F.col("problem").isNotNull(), "failed").when(F.col("parsed"), "parsed").otherwise("unroutable")
-    left = routed.where("front_end is null").select(*(f.name for f in keep), F.lit(None).cast("string").alias("problem"), F.lit(None).cast(FOUND).alias("tests"), F.when(F.col("content").isNull(), "missing").otherwise("unroutable").alias("status"))
-    names = [*(f.name for f in keep), "status", "problem", "tests"]
-    return taken.withColumn("status", status).select(*names).unionByName(left.select(*names))
+    status = F.when(F.col("problem").isNotNull(), "failed").when(F.col("parsed"), "parsed").when(F.col("_some"), "unroutable").otherwise("missing")
+    names = [*(f.name for f in keep if f.name != "_some"), "status", "problem", "tests"]
+    return routed.mapInPandas(run, schema).withColumn("status", status).select(*names)
 
 
 def observations(read_files: DataFrame, keys: list[str]) -> DataFrame:

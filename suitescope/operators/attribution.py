@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.git import git
@@ -56,6 +56,11 @@ def introductions(root: str, sha: str, path: str, ranges: list[tuple[int | None,
     return out
 
 
+def valid_range(start: Column, end: Column) -> Column:
+    """Whether a line range can be traced: it begins at line 1 or later and doesn't end before it begins."""
+    return F.coalesce((start >= 1) & (end >= start), F.lit(False))
+
+
 FACTS = "id long, introduced_commit_sha string, introduced_author_date timestamp"
 
 
@@ -63,9 +68,9 @@ def attribute(observations: DataFrame, cutoff: str) -> DataFrame:
     """(id, introduced_commit_sha, introduced_author_date, ai_window) of tests that could be attributed.
 
     ``observations``: (id, clone_path, commit_sha, file_path, start_line, end_line).  The cutoff is
-    half-open: at it begins 'post'.
+    half-open: at it begins 'post'.  Tests without a valid line range are left out before files are dealt to tasks.
     """
-    rows = observations.select("id", "clone_path", "commit_sha", "file_path", "start_line", "end_line")
+    rows = observations.where(valid_range(F.col("start_line"), F.col("end_line"))).select("id", "clone_path", "commit_sha", "file_path", "start_line", "end_line")
     rows = rows.repartition("clone_path", "commit_sha", "file_path").sortWithinPartitions("clone_path", "commit_sha", "file_path", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,3 +57,9 @@ def discover(files: DataFrame, suites_: DataFrame) -> DataFrame:
     s = suites_.select(F.col("repo").alias("_repo"), "dir", "suffix")
     inside = (F.col("repo") == F.col("_repo")) & F.expr("startswith(path, concat(dir, '/'))") & F.expr("endswith(path, suffix)")
     return files.join(s, inside, "left_semi")
+
+
+def corpus_names(lists: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, position, name) of corpus lists: one name a line, trimmed; blank lines and those that begin with # left out."""
+    lines = lists.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("position", "name"))
+    return lines.withColumn("name", F.regexp_replace("name", r"^[\x00\x09-\x0D\x20]+|[\x00\x09-\x0D\x20]+$", "")).where("name <> '' and not startswith(name, '#')")

@@ -1,13 +1,15 @@
 """Descriptive and rank statistics over any number of metrics and groups in one job.
 
 Metrics are unpivoted to (metric, value) first.  Order statistics and ranks work on the histogram
-of distinct values of a metric, made with partial aggregation before any shuffle, so a window never
-sees more rows than a metric has distinct values.
+of distinct values of a metric, made with partial aggregation before any shuffle.  Its running sums are
+made slice by slice: a slice is a range of a group's values, found from the value and the group's
+bounds alone, so no task sorts a whole group, however many distinct values that has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,38 @@ def unpivot(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataF
     return df.select(*keys, F.expr(f"stack({len(metrics)}, {stack}) as (metric, value)"))
 
 
+#: Slices: each doubling of the distance from a group's least value is cut so often, over so many doublings.
+PER_DOUBLING, DOUBLINGS = 64, 20
+
+
+def _beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys meet too."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on))
+    return left.join(named, same).drop(*(f"_r_{c}" for c in on))
+
+
+def slice_of(value: Column, lo: Column, hi: Column) -> Column:
+    """Which range a value falls in: never less for a greater value; finer near the least one, as counts and prices pile up there."""
+    x = F.try_divide(value - lo, hi - lo)
+    last = PER_DOUBLING * DOUBLINGS + 2
+    return F.when(x.isNull() | F.isnan(x), last).otherwise(F.floor(PER_DOUBLING * F.log2(1 + 2.0**DOUBLINGS * x)).cast("int"))
+
+
+def running(h: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """``h`` with, for each of ``sums``, upto_<name>: over its group's values up to and with its own, and all_<name>: over all."""
+    edge = h.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    cut = _beside(h, edge, by).withColumn("_slice", slice_of(F.col("value"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    parts = cut.groupBy(*by, "_slice").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    group = Window.partitionBy(*by)  # over slices, whose number has a bound
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_slice", *(F.sum(n).over(group).alias(f"all_{n}") for n in sums), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    own = Window.partitionBy(*by, "_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    within = cut.select("*", *(F.sum(c).over(own).alias(f"_own_{n}") for n, c in sums.items()))
+    out = _beside(within, parts, [*by, "_slice"]).withColumns({f"upto_{n}": F.col(f"_own_{n}") + F.col(f"_before_{n}") for n in sums})
+    return out.drop("_slice", *(f"_own_{n}" for n in sums), *(f"_before_{n}" for n in sums))
+
+
 def descriptives(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(keys, metric, n, mean, median, sd, iqr) of each group.
 
@@ -31,12 +65,8 @@ def descriptives(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     """
     by = [*keys, "metric"]
     counts = unpivot(df, keys, metrics).where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("c"))
-    whole = Window.partitionBy(*by)
-    counts = counts.withColumns({
-        "n": F.sum("c").over(whole),
-        "upto": F.sum("c").over(whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)),
-        "mean": F.sum(F.col("c") * F.col("value")).over(whole) / F.sum("c").over(whole),
-    })
+    counts = running(counts, by, {"c": F.col("c"), "v": F.col("c") * F.col("value")})
+    counts = counts.withColumns({"n": F.col("all_c"), "upto": F.col("upto_c"), "mean": F.col("all_v") / F.col("all_c")})
     half = F.floor(F.col("n") / 2)
 
     def middle(size: Column, skip: Column) -> tuple[Column, Column]:
@@ -89,10 +119,9 @@ def rank_tests(df: DataFrame, second: Column, metrics: Sequence[str], keys: Sequ
     by = [*keys, "metric"]
     long = unpivot(df.withColumn("_post", second), [*keys, "_post"], metrics).where("value is not null and _post is not null")
     h = long.groupBy(*by, "value").agg(F.count_if(~F.col("_post")).cast("double").alias("a"), F.count_if("_post").cast("double").alias("b"))
-    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
     t = F.col("a") + F.col("b")
-    h = h.withColumns({"t": t, "upto": F.sum(t).over(upto), "ua": F.sum("a").over(upto), "ub": F.sum("b").over(upto), "na": F.sum("a").over(whole), "nb": F.sum("b").over(whole)})
+    h = running(h, by, {"t": t, "a": F.col("a"), "b": F.col("b")})
+    h = h.withColumn("t", t).withColumnsRenamed({"upto_t": "upto", "upto_a": "ua", "upto_b": "ub", "all_a": "na", "all_b": "nb"})
 
     def median(c: str, n: str) -> Column:
         at = lambda place: F.min(F.when((F.col(c) >= place) & (F.col(n) > 0), F.col("value")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import erf_sql
 from ..operators import discovery, extraction, quality, samples, statistics, versioning
+from . import report as reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -490,8 +491,7 @@ def filtered_projection(spark, d):
 REPORT_SEED = ((9, (1, 1, 2, 2, 3), ("unit", "unit", "unit", "feature", "feature"), "2021-03-01", "pre"), (10, (3, 3, 4, 4, 5), ("feature",) * 5, "2023-03-01", "post"))
 
 
-def _report(spark: SparkSession, cutoff: str | None = None) -> dict[str, DataFrame]:
-    from ..plans.report import report
+def _report_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     from ..sources.store import filled
 
     rows, k = [], 0
@@ -501,27 +501,90 @@ def _report(spark: SparkSession, cutoff: str | None = None) -> dict[str, DataFra
             rows.append((k, s + 1, 1, f"t{k}", "tests/ATest.php", "phpunit", kind, v, 0, 0, 0, 0, date, window))
     obs = spark.createDataFrame(rows, "id long, snapshot_id long, repository_id long, identifier string, file_path string, front_end string, test_type string, assertion_count int, mock_breadth int, max_mock_chain_depth int, size_statements int, size_loc int, introduced_author_date string, ai_window string")
     snaps = spark.createDataFrame([(s + 1, 1, major, "version_boundary") for s, (major, *_) in enumerate(REPORT_SEED)], "id long, repository_id long, framework_version int, kind string")
-    return report(spark, filled(obs, "test_observations"), filled(snaps, "snapshots"), None, cutoff or "2022-11-30")
+    return filled(obs, "test_observations"), filled(snaps, "snapshots")
+
+
+def _report(spark: SparkSession, cutoff: str | None = None) -> dict[str, DataFrame]:
+    return reports.report(spark, *_report_tables(spark), None, cutoff or "2022-11-30")
 
 
 @query("""SELECT * FROM (VALUES ('assertion_count', 9, 5, '1.80', '2.00', '0.84', '1.50'), ('assertion_count', 10, 5, '3.80', '4.00', '0.84', '1.50')) AS v(metric, framework_version, n, mean, median, sd, iqr)""")
 def report_descriptives(spark, d):
-    return _report(spark)["descriptives"].where("metric = 'assertion_count'").withColumn("n", F.col("n").cast("int"))
+    return reports.descriptives(reports.state_sample(*_report_tables(spark)), ["assertion_count"]).withColumn("n", F.col("n").cast("int"))
 
 
 @query("""SELECT * FROM (VALUES ('assertion_count', '2.000000', '-16.200000', '0.641026', 10), ('size_loc', '0.000000', '0.000000', '1.000000', 10)) AS v(metric, slope, intercept, r2, n)""")
 def report_regression(spark, d):
-    return _report(spark)["regression"].where("metric in ('assertion_count', 'size_loc')").withColumn("n", F.col("n").cast("int"))
+    return reports.regression(reports.state_sample(*_report_tables(spark)), ["assertion_count", "size_loc"]).withColumn("n", F.col("n").cast("int"))
 
 
 @query("""SELECT * FROM (VALUES ('assertion_count', 5, 5, '2.00', '4.00', '1.0', '-0.920', 'large')) AS v(metric, n_pre, n_post, median_pre, median_post, u, cliffs_delta, magnitude)""")
 def report_comparison(spark, d):
-    c = _report(spark)["ai_comparison"].where("metric = 'assertion_count'")
+    c = reports.comparison(reports.tests_of(reports.flow_sample(*_report_tables(spark)), ["assertion_count"], "2022-11-30"))
     return c.select("metric", F.col("n_pre").cast("int").alias("n_pre"), F.col("n_post").cast("int").alias("n_post"), "median_pre", "median_post", "u", "cliffs_delta", "magnitude")
 
 
 @query("""SELECT * FROM (VALUES ('9', 5, '60.0', '40.0', '0.0', '0.0'), ('10', 5, '0.0', '100.0', '0.0', '0.0'), ('pre', 5, '60.0', '40.0', '0.0', '0.0'), ('post', 5, '0.0', '100.0', '0.0', '0.0')) AS v(k, n, "unit", feature, integration, "unknown")""")
 def report_types(spark, d):
-    blocks = _report(spark)
-    one = lambda name, key: blocks[name].select(F.col(key).cast("string").alias("k"), F.col("n").cast("int").alias("n"), "unit", "feature", "integration", "unknown")
-    return one("types_by_version", "framework_version").unionByName(one("types_by_window", "ai_window"))
+    tables = _report_tables(spark)
+    one = lambda df, key: df.select(F.col(key).cast("string").alias("k"), F.col("n").cast("int").alias("n"), "unit", "feature", "integration", "unknown")
+    by_version, by_window = reports.types_by_version(reports.state_sample(*tables)), reports.types_by_window(reports.flow_sample(*tables), F.col("ai_window"))
+    return one(by_version, "framework_version").unionByName(one(by_window, "ai_window"))
+
+
+@query("SELECT '2022-11-30' AS ai_cutoff, true AS has_version")
+def report_provenance(spark, d):
+    """The revision of the tool differs from build to build: only that there is one."""
+    return spark.range(1).select(F.lit(reports.CUTOFF).alias("ai_cutoff"), (F.length(F.lit(reports.tool_version())) > 0).alias("has_version"))
+
+
+@query("SELECT 10 AS n_pre, 0 AS n_post, 5 AS refused_metrics")
+def report_refused(spark, d):
+    """A cutoff after all tests leaves one side empty: every metric is refused."""
+    tests = reports.tests_of(reports.flow_sample(*_report_tables(spark)), list(reports.METRICS), "2031-01-01").where("refused")
+    return tests.groupBy(F.col("n_pre").cast("int").alias("n_pre"), F.col("n_post").cast("int").alias("n_post")).agg(F.count("*").cast("int").alias("refused_metrics"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber - 1 >= 1 AND CAST(l_quantity AS INT) >= l_linenumber - 1""")
+def line_ranges(spark, d):
+    """Which line ranges can be traced: from the line's number less one to its quantity."""
+    from ..operators import attribution
+
+    valid = attribution.valid_range(F.col("l_linenumber") - 1, F.col("l_quantity").cast("int"))
+    return t(spark, d, "lineitem").where(valid).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), u AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS position FROM l),
+n AS (SELECT doc_id, CAST(position AS INT) AS position, regexp_replace(raw, '^[\x00\x09-\x0D\x20]+|[\x00\x09-\x0D\x20]+$', '', 'g') AS name FROM u)
+SELECT doc_id, position, name FROM n WHERE name <> '' AND NOT starts_with(name, '#')""")
+def corpus_lines(spark, d):
+    """Every text read as a corpus list."""
+    return discovery.corpus_names(t(spark, d, "documents"), "text", ("doc_id",))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN said ELSE o_orderpriority END AS o_orderpriority
+FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS said FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey""")
+def rebuild_layer(spark, d):
+    """One column reset for all finished orders, then filled from what their lines say."""
+    from ..sources.store import rebuilt
+
+    facts = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderpriority"))
+    return rebuilt(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderstatus") == "F", facts, "o_orderkey", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT * FROM (VALUES ('—', 0, 'FAIL'), ('o/good', 1, 'ok'), ('o/good', 2, 'ok'), ('o/good', 3, 'ok'), ('o/good', 6, 'ok'), ('o/good', 7, 'ok')) AS v(repository, seq, status)""")
+def verify_one(spark, d):
+    """The gate for one repository; orphans are still counted over all."""
+    return quality.verify(*_seed(spark), "o/good").select("repository", "seq", "status")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 1")
+def newest_event(spark, d):
+    """The first row of an order: each task keeps its own first, no sort of the whole."""
+    return t(spark, d, "events").orderBy(F.col("ts").desc_nulls_last(), F.col("event_id").desc()).limit(1).select("event_id", "user_id", "event_type")
+
+
+from . import histories  # noqa: E402, F401  its queries register themselves

@@ -40,7 +40,7 @@ def acquire(store: Store, full_name: str, clone: str, metadata: dict | None = No
         raise CommandFailed(f"No clone at {clone}.")
     owner, name = full_name.split("/")
     meta = metadata or {}
-    row = store.spark.createDataFrame([(full_name, owner, name, os.path.abspath(clone), sha, meta.get("license"), meta.get("github_created_at"))], "full_name string, owner string, name string, clone_path string, head_sha string, license string, github_created_at string")
+    row = store.spark.createDataFrame([(full_name, owner, name, f"https://github.com/{full_name}.git", os.path.abspath(clone), sha, meta.get("license"), meta.get("github_created_at"))], "full_name string, owner string, name string, url string, clone_path string, head_sha string, license string, github_created_at string")
     row = row.select(key_of("full_name").alias("id"), "*", F.current_timestamp().alias("cloned_at")).withColumn("github_created_at", F.to_date("github_created_at"))
     store.upsert("repositories", row, ["full_name"])
     return store.read("repositories").where(F.col("full_name") == full_name)
@@ -69,6 +69,7 @@ def snapshot(store: Store, full_name: str) -> DataFrame:
     if found.isEmpty():
         raise CommandFailed("No manifest commit resolves to a major.")
     store.upsert("snapshots", found, ["repository_id", "framework_version"])
+    touches.unpersist()
     return found.select("framework_version", F.substring("commit_sha", 1, 12).alias("commit"), "commit_date").orderBy("framework_version")
 
 
@@ -83,12 +84,14 @@ def extract(store: Store, full_name: str, head: bool = False) -> DataFrame:
     snaps = store.read("snapshots").where(mine & which).orderBy("framework_version").collect()  # one a major
     if not snaps:
         raise CommandFailed("No snapshots: run snapshot first.")
-    # Configurations first: the suites' own suffixes say which files to read.
+    # Configurations first: the suites say which files' contents to read.
     trees = [(full_name, repo.clone_path, s.commit_sha) for s in snaps]
     shas = store.spark.createDataFrame([(s.commit_sha,) for s in snaps], "repo string")
     suites = discovery.suites(git.read_trees(store.spark, trees, discovery.CONFIGS).withColumn("repo", F.col("sha")), shas).cache()
-    ends = tuple(r.suffix for r in suites.select("suffix").distinct().collect())
-    files = git.read_trees(store.spark, trees, ends).withColumn("repo", F.col("sha"))
+    own: dict[str, list[tuple[str, str]]] = {}
+    for r in suites.distinct().collect():  # a few for each snapshot of one repository
+        own.setdefault(r.repo, []).append((r.dir, r.suffix))
+    files = git.read_suites(store.spark, [(*tree, own.get(tree[2], [])) for tree in trees]).withColumn("repo", F.col("sha"))
     inside = discovery.discover(files, suites).select(F.col("sha").alias("commit_sha"), "path", "content")
     ids = store.spark.createDataFrame([(s.id, s.commit_sha) for s in snaps], "snapshot_id long, commit_sha string")
     read = frames.read(inside.join(ids, "commit_sha").withColumn("repository_id", F.lit(repo.id))).cache()
@@ -101,6 +104,7 @@ def extract(store: Store, full_name: str, head: bool = False) -> DataFrame:
     store.rebuild("repositories", F.col("id") == repo.id, primary, "id", ["primary_test_framework"])
     out = store.spark.createDataFrame(frames.summary(read, ["snapshot_id"]).collect() or [], "snapshot_id long, files long, tests long, unroutable long, failures long")
     read.unpersist()
+    suites.unpersist()
     return out
 
 
@@ -114,7 +118,8 @@ def blame(store: Store, full_name: str, cutoff: str | None = None) -> DataFrame:
         raise CommandFailed("No extracted snapshot: run extract first.")
     scope = obs.where(F.col("snapshot_id") == newest.id).withColumn("clone_path", F.lit(repo.clone_path)).withColumn("commit_sha", F.lit(newest.commit_sha))
     facts = attribution.attribute(scope, cutoff or reports.cutoff_default()).cache()
-    store.rebuild("test_observations", mine, facts, "id", ["introduced_commit_sha", "introduced_author_date", "ai_window"])
+    slices = [r.id for r in snaps.select("id").collect()]  # a few for one repository
+    store.rebuild("test_observations", mine, facts, "id", ["introduced_commit_sha", "introduced_author_date", "ai_window"], slices)
     facts.unpersist()
     done = store.read("test_observations").where(F.col("snapshot_id") == newest.id)
     return done.agg(F.count("*").alias("tests"), F.count("ai_window").alias("attributed"), F.count_if(F.col("ai_window") == "pre").alias("pre"), F.count_if(F.col("ai_window") == "post").alias("post"), F.count_if(F.col("ai_window").isNull()).alias("unattributable"))
@@ -143,8 +148,8 @@ def report(store: Store, metric: str | None = None, cutoff: str | None = None, e
 
 def corpus(store: Store, path: str) -> list[str]:
     """Names in a corpus list: one a line, blank lines and those that begin with # left out, order kept."""
-    lines = store.spark.read.text(path, wholetext=True).first()
-    return [x.strip() for x in (lines[0] if lines else "").split("\n") if x.strip() and not x.strip().startswith("#")]
+    whole = store.spark.read.text(path, wholetext=True)
+    return [r.name for r in discovery.corpus_names(whole, "value").orderBy("position").collect()]
 
 
 def batch(store: Store, names: list[str], clone_of: Callable[[str], str]) -> list[dict[str, str]]:

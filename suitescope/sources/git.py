@@ -92,8 +92,10 @@ class GitTree(DataSource):
     def reader(self, schema) -> DataSourceReader:
         ends = tuple(json.loads(self.options.get("suffixes", "[]")))
 
-        def rows(repo: str, root: str, sha: str) -> Iterator[tuple]:
+        def rows(repo: str, root: str, sha: str, suites: list[list[str]] | None = None) -> Iterator[tuple]:
             paths = [p for p in tree_paths(root, sha) if not ends or p.endswith(ends)]
+            if suites is not None:
+                paths = [p for p in paths if any(p.startswith(f"{d}/") and p.endswith(e) for d, e in suites)]
             for path, raw in zip(paths, blobs(root, [f"{sha}:{p}" for p in paths]), strict=True):
                 yield repo, sha, path.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), text(raw)
 
@@ -134,6 +136,12 @@ def read_trees(spark: SparkSession, commits: list[tuple[str, str, str]], suffixe
     return spark.read.format("gittree").option("commits", json.dumps(commits)).option("suffixes", json.dumps(list(suffixes))).load()
 
 
+def read_suites(spark: SparkSession, commits: list[tuple[str, str, str, list[tuple[str, str]]]]) -> DataFrame:
+    """Files of (repo, clone, sha, suites), where a suite is (directory, suffix): no other file's content is fetched."""
+    register(spark)
+    return spark.read.format("gittree").option("commits", json.dumps(commits)).load()
+
+
 def read_log(spark: SparkSession, repos: list[tuple[str, str]], file: str = "composer.json") -> DataFrame:
     """Touches of ``file`` in (repo, clone) pairs."""
     register(spark)

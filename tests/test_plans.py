@@ -7,8 +7,8 @@ import pytest
 from suitescope.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-#: These read a few inline rows through Python on purpose.
-PYTHON = {"suite_directories", "extract_fixture_tests", "extract_status", "extract_summary"}
+#: These read a few inline rows, or a git history, through Python on purpose.
+PYTHON = {"suite_directories", "extract_fixture_tests", "extract_status", "extract_summary", "introducing_commits"}
 
 
 def plan_of(df):
@@ -37,3 +37,14 @@ def test_copies_meet_before_the_shuffle(spark):
     assert "partial_count" in plan
     plan = plan_of(catalogue.representative_per_major(spark, DATA))
     assert "partial_max_by" in plan
+
+
+def test_first_rows_meet_before_the_shuffle(spark):
+    assert plan_of(catalogue.first_per_authored_key(spark, DATA)).count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("name", ["descriptives_by_major", "mannwhitney_cliffs"])
+def test_no_task_sorts_a_whole_group(spark, name):
+    """Windows in order of value are cut to slices."""
+    specs = re.findall(r"windowspecdefinition\(([^)]*)\)", plan_of(catalogue.QUERIES[name](spark, DATA)))
+    assert specs and all("_slice" in s for s in specs if re.search(r"\bvalue#", s))

@@ -110,3 +110,20 @@ def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
     store.append("test_observations", rows((3, "c")))
     assert sorted(r.id for r in store.read("test_observations").collect()) == [1, 3]
     assert len([p for p in (tmp_path / "s" / "test_observations").iterdir() if p.name.startswith("v-")]) == 1  # the lost version is gone
+
+
+def test_writes_touch_only_their_slices(spark, tmp_path):
+    store, at = Store(spark, str(tmp_path / "s")), tmp_path / "s" / "test_observations"
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, snapshot_id long, repository_id long, identifier string")
+    files = lambda n: {str(p): p.stat().st_mtime_ns for p in at.rglob("*.parquet") if f"slice={n}" in str(p)}
+    store.append("test_observations", rows((1, 1, 1, "a"), (2, 2, 1, "b"), (3, None, 1, "n")))
+    before = files(2) | files("none")
+    assert len(before) == 2
+    store.replace("test_observations", rows((4, 1, 1, "c")), "snapshot_id", [1])
+    store.append("test_observations", rows((5, 1, 1, "d")))
+    store.rebuild("test_observations", F.col("repository_id") == 1, spark.createDataFrame([(4, "post")], "id long, ai_window string"), "id", ["ai_window"], [1])
+    assert files(2) | files("none") == before
+    assert sorted((r.id, r.snapshot_id, r.ai_window) for r in store.read("test_observations").collect()) == sorted([(4, 1, "post"), (5, 1, None), (2, 2, None), (3, None, None)], key=lambda r: r[0])
+    assert {r.id for r in store.read("test_observations", [1]).collect()} == {4, 5}
+    store.replace("test_observations", rows((9, 1, 1, "z")).where("false"), "snapshot_id", [1])
+    assert not files(1) and store.read("test_observations").count() == 2

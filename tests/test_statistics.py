@@ -88,3 +88,28 @@ def test_descriptives_agree_with_lists(spark):
         assert r.mean == pytest.approx(st.mean(v))
         assert r.sd == pytest.approx(st.stdev(v) if len(v) > 1 else 0)
         assert r.iqr == pytest.approx(halves(v))
+
+
+def test_slices_keep_the_order_of_values(spark):
+    values = [0.0, -1.5, 7.0, 1e300, float("-inf"), float("inf"), float("nan"), 3.0, 1e-300, 2.0]
+    for some in (values, values[:4], [5.0], [1.0, 2.0, 3.0], [0.0, float("inf")], [1.0, float("nan")]):
+        df = spark.createDataFrame([(x,) for x in some], "value double")
+        edge = df.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        got = [r[0] for r in df.crossJoin(edge).orderBy("value").select(S.slice_of(F.col("value"), F.col("lo"), F.col("hi"))).collect()]
+        assert got == sorted(got)
+
+
+def test_many_distinct_values_and_null_keys(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(None if k % 3 == 0 else k % 3, draw.lognormvariate(0, 2), k % 2 == 0) for k in range(900)]
+    df = spark.createDataFrame(rows, "g int, m double, post boolean")
+    for r in S.descriptives(df, ["g"], ["m"]).collect():
+        v = [m for g, m, _ in rows if g == r.g]
+        assert (r.n, r.median, r.iqr) == (len(v), pytest.approx(st.median(v)), pytest.approx(halves(v)))
+        assert (r.mean, r.sd) == (pytest.approx(st.mean(v)), pytest.approx(st.stdev(v)))
+    for r in S.rank_tests(df, F.col("post"), ["m"], ["g"]).collect():
+        a, b = ([m for g, m, p in rows if g == r.g and p == side] for side in (False, True))
+        more = sum(x > y for x in a for y in b)
+        assert r.u == pytest.approx(min(more, len(a) * len(b) - more))
