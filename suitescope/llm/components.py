@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import checkpointed, forget
 
+#: A node's neighbours are dealt to up to so many tasks, so that no task meets all of a hub's.
+SALTS = 64
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node links some neighbours to the least node near it: the greater ones, or the others and itself."""
+    """Each node links some neighbours to the least node near it: the greater ones, or the others and itself.
+
+    Neighbours are dealt out by node and salt.  A node's least ones by salt, SALTS at most, meet to find the least of all.
+    """
     if large:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    both = near.join(least, "a")
+    near = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    least = near.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    least = least.select("a", "salt", F.least("a", F.min("m").over(Window.partitionBy("a"))).alias("m"))
+    both = near.join(least, ["a", "salt"])
     if large:
         out = both.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
